@@ -94,3 +94,12 @@ def exact_quantiles(df: DataFrame, value: Column, probs: list[float], by: list[s
 def quantile_scalar(df: DataFrame, value: Column, probs: list[float]) -> Column:
     """The quantiles of a whole frame as an array-valued scalar subquery."""
     return exact_quantiles(df, value, probs).select("q").scalar()
+
+
+def quantile_values(df: DataFrame, value: Column, probs: list[float]) -> list[float] | None:
+    """The quantiles as numbers (like ``approxQuantile``, an action), or None without values.
+
+    A filter on such a number can be pushed to the scan, and stacked filters keep simple plans.
+    """
+    row = exact_quantiles(df, value, probs).first()
+    return list(row["q"]) if row else None

@@ -153,20 +153,20 @@ _FANOUT = 8
 _LEVELS = 3  # 0.01, 0.08, 0.64, 5.12 degrees: the coarsest has at most 36 x 71 cells on Earth
 
 
-def _cells(points: DataFrame, at: tuple[str, str], i: str, j: str) -> DataFrame:
+def _cells(points: DataFrame, at: tuple[str, str], i: str, j: str, keys: list[str]) -> DataFrame:
     return (
-        points.select(*[c.alias(n) for n, c in _finest(*at, i, j).items()])
-        .groupBy(i, j)
+        points.select(*keys, *[c.alias(n) for n, c in _finest(*at, i, j).items()])
+        .groupBy(*keys, i, j)
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def _right_level(cells: DataFrame, level: int) -> DataFrame:
+def _right_level(cells: DataFrame, level: int, keys: list[str]) -> DataFrame:
     """Right cells of one grid with their number of points and the key of the cell above."""
     if level:
         f = float(_FANOUT**level)
         cells = cells.groupBy(
-            F.floor(F.col("ri") / f).alias("ri"), F.floor(F.col("rj") / f).alias("rj")
+            *keys, F.floor(F.col("ri") / f).alias("ri"), F.floor(F.col("rj") / f).alias("rj")
         ).agg(F.sum("n").alias("n"))
     up = {"pi": F.floor(F.col("ri") / _FANOUT), "pj": F.floor(F.col("rj") / _FANOUT)}
     return cells.withColumns(up)
@@ -178,13 +178,13 @@ def _box(i: str, j: str, size: float):
     return lat - pad, lat + (size + pad), lon - pad, lon + (size + pad)
 
 
-def _prune(pairs: DataFrame, level: int, metric: str, k: int) -> DataFrame:
+def _prune(pairs: DataFrame, level: int, metric: str, k: int, keys: list[str]) -> DataFrame:
     """Drop right cells that cannot hold one of the ``k`` nearest of their left cell."""
     low, high = geo.box_bounds(
         metric, _box("li", "lj", _FINEST), _box("ri", "rj", _FINEST * _FANOUT**level)
     )
     scored = pairs.withColumn("_low", low).withColumn("_high", high)
-    cell = Window.partitionBy("li", "lj")
+    cell = Window.partitionBy(*keys, "li", "lj")
     if k == 1:
         bound = F.min("_high").over(cell)
     else:
@@ -196,19 +196,21 @@ def _prune(pairs: DataFrame, level: int, metric: str, k: int) -> DataFrame:
     kept = scored.withColumn("_bound", bound).where(
         F.col("_low") <= F.col("_bound") * (1.0 + 1e-9) + 1e-15
     )
-    return kept.select("li", "lj", "ri", "rj")
+    return kept.select(*keys, "li", "lj", "ri", "rj")
 
 
-def _candidate_cells(left: DataFrame, right: DataFrame, metric: str, k: int) -> DataFrame:
+def _candidate_cells(
+    left: DataFrame, right: DataFrame, metric: str, k: int, keys: list[str]
+) -> DataFrame:
     """Pairs of finest cells that can hold one of the ``k`` nearest."""
     # Start: the few coarsest right cells for every left cell, joined on a constant key.
-    root = _right_level(right, _LEVELS).select("ri", "rj", "n", F.lit(0).alias("root"))
-    start = left.select("li", "lj", F.lit(0).alias("root")).join(root, "root").drop("root")
-    front = _prune(start, _LEVELS, metric, k)
+    root = _right_level(right, _LEVELS, keys).select(*keys, "ri", "rj", "n", F.lit(0).alias("root"))
+    start = left.select(*keys, "li", "lj", F.lit(0).alias("root"))
+    front = _prune(start.join(root, [*keys, "root"]).drop("root"), _LEVELS, metric, k, keys)
     for level in range(_LEVELS - 1, -1, -1):
         parents = front.withColumnsRenamed({"ri": "pi", "rj": "pj"})
-        pairs = parents.join(_right_level(right, level), ["pi", "pj"]).drop("pi", "pj")
-        front = _prune(pairs, level, metric, k)
+        pairs = parents.join(_right_level(right, level, keys), [*keys, "pi", "pj"])
+        front = _prune(pairs.drop("pi", "pj"), level, metric, k, keys)
     return front
 
 
@@ -229,42 +231,45 @@ def nearest_by_position(
     metric: str = "haversine",
     distance: str = "distance_km",
     rank: str = "rank",
+    keys: list[str] = (),
 ) -> DataFrame:
     """The ``k`` nearest right rows of every distinct left position, exactly.
 
     Returns ``site_lat``, ``site_lon``, all right columns, the distance and the 1-based rank.
-    Equal distances (to a micrometre) are ordered by ``tie``.
+    Equal distances (to a micrometre) are ordered by ``tie``. With ``keys`` only rows with equal
+    keys are compared, and positions are distinct per key.
     """
-    payload = [c for c in right.columns if c not in right_at]
+    keys = list(keys)
+    payload = [c for c in right.columns if c not in right_at and c not in keys]
     places = (
         located(left, left_at)
-        .select(F.col(left_at[0]).alias("site_lat"), F.col(left_at[1]).alias("site_lon"))
+        .select(*keys, F.col(left_at[0]).alias("site_lat"), F.col(left_at[1]).alias("site_lon"))
         .distinct()
     )
     valid = located(right, right_at)
     if k == 1:
         # one row per position is enough, chosen map-side
         first = F.min_by(F.struct(*payload), F.struct(*tie)).alias("_row")
-        rows = valid.groupBy(*right_at).agg(first).select(*right_at, "_row.*")
+        rows = valid.groupBy(*keys, *right_at).agg(first).select(*keys, *right_at, "_row.*")
     else:
-        order = Window.partitionBy(*right_at).orderBy(*tie)
+        order = Window.partitionBy(*keys, *right_at).orderBy(*tie)
         rows = valid.withColumn("_o", F.row_number().over(order)).where(F.col("_o") <= k).drop("_o")
-    lcells = _cells(places, ("site_lat", "site_lon"), "li", "lj")
-    rcells = _cells(rows, right_at, "ri", "rj")
-    near = _candidate_cells(lcells, rcells, metric, k)
+    lcells = _cells(places, ("site_lat", "site_lon"), "li", "lj", keys)
+    rcells = _cells(rows, right_at, "ri", "rj", keys)
+    near = _candidate_cells(lcells, rcells, metric, k, keys)
     a = places.withColumns(_finest("site_lat", "site_lon", "li", "lj"))
     b = rows.withColumns(_finest(*right_at, "ri", "rj"))
     d = geo.distance(
         metric, F.col("site_lat"), F.col("site_lon"), F.col(right_at[0]), F.col(right_at[1])
     )
     pairs = (
-        a.join(near, ["li", "lj"])
-        .join(b, ["ri", "rj"])
+        a.join(near, [*keys, "li", "lj"])
+        .join(b, [*keys, "ri", "rj"])
         .drop("li", "lj", "ri", "rj")
         .withColumn(distance, d)
     )
     order = [F.round(F.col(distance), 9), *[F.col(t) for t in tie]]
-    best = Window.partitionBy("site_lat", "site_lon").orderBy(*order)
+    best = Window.partitionBy(*keys, "site_lat", "site_lon").orderBy(*order)
     return pairs.withColumn(rank, F.row_number().over(best)).where(F.col(rank) <= k)
 
 
@@ -288,3 +293,20 @@ def nearest_join(
     if k == 1:
         found = found.drop("rank")
     return attach_by_position(left, found, left_at, how)
+
+
+def radius_exists(
+    df: DataFrame,
+    other: DataFrame,
+    radius: float,
+    at: tuple[str, str],
+    other_at: tuple[str, str],
+    strict: bool = False,
+    negate: bool = False,
+) -> DataFrame:
+    """Rows with (or, negated, without) any row of ``other`` in reach: a semi or anti join."""
+    hits = radius_aggregate(df, other, radius, {"_hits": ("count", F.lit(1))}, at, other_at,
+                            strict=strict)
+    found = hits.select(F.col("site_lat").alias("_slat"), F.col("site_lon").alias("_slon"))
+    on = (F.col(at[0]) == F.col("_slat")) & (F.col(at[1]) == F.col("_slon"))
+    return df.join(found, on, "left_anti" if negate else "left_semi")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from gridspark import schemas
 from gridspark.functions.coerce import to_double, to_utc
 
-_BOM = "﻿"
+_BOM = "\ufeff"
 
 
 def _typed(name: str, kind: T.DataType) -> Column:
