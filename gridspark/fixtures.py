@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridspark.functions import outage as out
 from gridspark.functions.geo import cell_index
 from gridspark.session import configure
 
@@ -166,6 +165,3 @@ def regions(spark: SparkSession) -> DataFrame:
         f"SELECT region_id, name, array(array({ring})) AS polygons FROM ({REGIONS}) r"
     )
 
-
-__all__ = [n for n in dir() if n.isupper()] + ["use", "outages", "sites", "cells", "predictions"]
-_ = out

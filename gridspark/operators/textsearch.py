@@ -9,9 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+# The characters that end a line, and blanks around it.
+_LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+_BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+
+
 def lines_of(text: Column) -> Column:
     """Lines of a text; a final line break does not add an empty line."""
-    return F.split(F.regexp_replace(text, r"(\r\n|\n|\r)\z", ""), r"\r\n|\n|\r")
+    return F.split(F.regexp_replace(text, rf"({_LINE_END})\z", ""), _LINE_END)
 
 
 def search_documents(
@@ -33,7 +38,7 @@ def search_documents(
         around = F.slice(F.col("_lines"), start + 1, length)
         return F.struct(
             (s["i"] + 1).alias("line_number"),
-            F.trim(s["line"]).alias("matching_line"),
+            F.regexp_replace(s["line"], _BLANKS, "").alias("matching_line"),
             F.array_join(around, "\n").alias("context"),
         )
 
@@ -56,8 +61,8 @@ def match_rows(found: DataFrame) -> DataFrame:
 
 def document_titles(df: DataFrame, text: str = "text") -> DataFrame:
     """Title of every document: its first level-one heading, empty without one."""
-    title = F.regexp_extract(F.col(text), r"(?m)^[ \t]*# (.*)$", 1)
-    return df.withColumn("title", F.trim(title)).drop(text)
+    title = F.regexp_extract(F.col(text), r"(?m)^[ \t]*# (.*\S.*)$", 1)
+    return df.withColumn("title", F.trim(F.ltrim(title, F.lit("# ")))).drop(text)
 
 
 def document_by_key(df: DataFrame, key: str, value) -> DataFrame:

@@ -34,6 +34,7 @@ def local_session(cores: str | int = "*", app: str = "gridspark", **conf: str) -
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
     )
     for key, value in conf.items():

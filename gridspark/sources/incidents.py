@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridspark import schemas
 from gridspark.functions.coerce import to_double, to_utc
 
-_RAW = T.StructType(
-    [T.StructField(f.name, T.StringType()) for f in schemas.INCIDENTS.fields[:7]]
-    + [T.StructField("geo_point_2d", T.StringType())]
-)
+_FIELDS = [f.name for f in schemas.INCIDENTS.fields[:7]] + ["geo_point_2d"]
 
 
 def parse_incidents(raw: DataFrame) -> DataFrame:
@@ -38,7 +35,23 @@ def parse_incidents(raw: DataFrame) -> DataFrame:
     )
 
 
+def raw_fields(records: DataFrame, column: str = "record") -> DataFrame:
+    """The feed's fields from a map of texts whose names may be in any case."""
+    lowered = F.transform_keys(column, lambda name, _: F.lower(name))
+    return records.select(lowered.alias("_m")).select(
+        *[F.col("_m").getItem(name).alias(name) for name in _FIELDS]
+    )
+
+
 def read_live_incidents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """One snapshot (a JSON array); column names match in any case, an empty feed gives no rows."""
-    raw = spark.read.schema(_RAW).option("multiLine", multi_line).json(path)
+    """Feed snapshots, each file one JSON array (or, without ``multi_line``, one record per line).
+
+    An empty feed gives no rows.
+    """
+    text = spark.read.text(path, wholetext=multi_line)
+    if multi_line:
+        parsed = F.explode(F.from_json("value", "array<map<string,string>>"))
+    else:
+        parsed = F.from_json("value", "map<string,string>")
+    raw = raw_fields(text.select(parsed.alias("record")))
     return parse_incidents(raw.where(F.col("incident_num").isNotNull()))
