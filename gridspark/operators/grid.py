@@ -153,7 +153,7 @@ def neighbour_counts(counts: DataFrame, keys: list[str] = ()) -> DataFrame:
             for i, j in steps
         ]
     )
-    spread = counts.select(*keys, F.explode(around).alias("c"), "n").select(*keys, "c.*", "n")
+    spread = counts.select(*keys, F.explode(around).alias("_to"), "n").select(*keys, "_to.*", "n")
     return spread.groupBy(*keys, "ci", "cj").agg(F.sum("n").alias("neighbor_outage_count"))
 
 

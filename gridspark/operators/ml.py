@@ -259,6 +259,35 @@ def tune_thresholds(preds: DataFrame, values=(0.2, 0.3, 0.4, 0.5)) -> DataFrame:
 BLOCK_ROWS = 2000
 
 
+def _grower(level: str, each: int, share: float, k: int, seed: int):
+    """Per-block function making ``each`` (or, with chance ``share``, one more) points per sample."""
+    names = list(FEATURES)
+
+    def grow(pdf):
+        import numpy as np
+        import pandas as pd
+
+        # a fixed order makes a repeated task produce the same points
+        x = pdf.sort_values(names)[names].to_numpy(dtype=float)
+        n = len(x)
+        rng = np.random.default_rng([seed, int(pdf["_block"].iloc[0]), int(pdf["_deal"].iloc[0])])
+        copies = np.full(n, each) + (rng.random(n) < share)
+        origin = np.repeat(np.arange(n), copies)
+        if n < 2 or len(origin) == 0:
+            made = x[origin]
+        else:
+            squares = (x * x).sum(axis=1)
+            d = squares[:, None] + squares[None, :] - 2.0 * x @ x.T
+            np.fill_diagonal(d, np.inf)
+            m = min(k, n - 1)
+            near = np.argpartition(d, m - 1, axis=1)[:, :m]
+            other = near[origin, rng.integers(0, m, len(origin))]
+            made = x[origin] + rng.random((len(origin), 1)) * (x[other] - x[origin])
+        return pd.DataFrame(made, columns=names).assign(risk_level=level)
+
+    return grow
+
+
 def smote(
     samples: DataFrame, k: int = 3, seed: int = SEED, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -275,8 +304,6 @@ def smote(
     base = samples.select(*FEATURES, "risk_level")
     if not need:
         return base
-    import numpy as np
-
     names = list(FEATURES)
     parts = [base]
     for level, missing in sorted(need.items()):
@@ -304,28 +331,8 @@ def smote(
         rows = rows.withColumn("_deal", F.pmod(F.xxhash64(*names), deal).cast("int"))
         share = rest / size
 
-        def grow(pdf, each=each, share=share, level=level):
-            import pandas as pd
-
-            x = pdf[names].to_numpy(dtype=float)
-            n = len(x)
-            rng = np.random.default_rng([seed, int(pdf["_block"].iloc[0]), int(pdf["_deal"].iloc[0])])
-            copies = np.full(n, each) + (rng.random(n) < share)
-            origin = np.repeat(np.arange(n), copies)
-            if n < 2 or len(origin) == 0:
-                made = x[origin]
-            else:
-                sq = (x * x).sum(axis=1)
-                d = sq[:, None] + sq[None, :] - 2.0 * x @ x.T
-                np.fill_diagonal(d, np.inf)
-                m = min(k, n - 1)
-                near = np.argpartition(d, m - 1, axis=1)[:, :m]
-                other = near[origin, rng.integers(0, m, len(origin))]
-                made = x[origin] + rng.random((len(origin), 1)) * (x[other] - x[origin])
-            return pd.DataFrame(made, columns=names).assign(risk_level=level)
-
         schema = ", ".join([*[f"{c} double" for c in names], "risk_level string"])
-        parts.append(rows.groupBy("_block", "_deal").applyInPandas(grow, schema))
+        parts.append(rows.groupBy("_block", "_deal").applyInPandas(_grower(level, each, share, k, seed), schema))
     doubles = [F.col(c).cast("double").alias(c) for c in names]
     out = parts[0].select(*doubles, "risk_level")
     for extra in parts[1:]:
