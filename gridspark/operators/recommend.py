@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridspark.functions import geo, outage as out
 from gridspark.functions.coerce import percent, to_double
@@ -13,6 +13,8 @@ from gridspark.operators.ranking import top_k
 from gridspark.operators.spatial import (
     LATLON,
     attach_by_position,
+    located,
+    nearest_by_position,
     nearest_join,
     radius_aggregate,
     radius_exists,
@@ -30,30 +32,41 @@ def community_buildings(sites: DataFrame) -> DataFrame:
     return sites.where(is_community_building(F.col("charge_point_location")))
 
 
-def _named(sites: DataFrame, prefix: str) -> DataFrame:
-    return sites.select(
-        F.col("charge_point_location").alias(f"{prefix}_name"),
-        F.col("latitude").alias(f"_{prefix}_lat"),
-        F.col("longitude").alias(f"_{prefix}_lon"),
-    )
-
+def describe_places(
+    best: DataFrame, sites: DataFrame, lookups: dict[str, Column], at=CELL_AT
+) -> DataFrame:
+    """Add name and distance of the nearest site of several kinds to a few rows, in one pass.
 
-def with_nearest_site(df: DataFrame, sites: DataFrame, prefix: str, at=CELL_AT) -> DataFrame:
-    """Add name and distance of the nearest site as ``<prefix>_name`` and ``<prefix>_km``."""
-    right = _named(sites, prefix)
-    at_right = (f"_{prefix}_lat", f"_{prefix}_lon")
-    found = nearest_join(
-        df, right, at, at_right, [f"{prefix}_name"], distance=f"{prefix}_km"
+    ``best`` holds a handful of ranked rows (a top-k), so it travels as one array to the sites,
+    which are read once and combined map-side. ``lookups`` maps a prefix to the condition on a
+    site; each adds ``<prefix>_name`` and ``<prefix>_km``. Also adds ``place``, "near <site>".
+    """
+    rows = best.agg(F.collect_list(F.struct(*best.columns)).alias("r")).scalar()
+    named = located(sites).select("charge_point_location", "site_category", *LATLON)
+    # one empty row keeps the places when there are no sites at all
+    spark = best.sparkSession
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in named.schema.fields]
+    padded = named.unionByName(spark.range(1).select(*blank))
+    pairs = padded.withColumn("_p", F.explode(rows)).withColumn(
+        "_d",
+        geo.haversine_km(
+            F.col("_p")[at[0]], F.col("_p")[at[1]], F.col("latitude"), F.col("longitude")
+        ),
     )
-    return found.drop(*at_right)
-
-
-def place_label(df: DataFrame, sites: DataFrame, at=CELL_AT) -> DataFrame:
-    """Add ``place``: "near <nearest site>", else the coordinates."""
-    named = with_nearest_site(df, sites, "place", at)
+    name = F.col("charge_point_location")
+    key = F.struct(F.round("_d", 9).alias("d"), name.alias("n"))
+    found = []
+    for prefix, condition in {**lookups, "place": F.lit(True)}.items():
+        hit = F.when(condition & F.col("_d").isNotNull(), key)
+        found += [
+            F.min_by(name, hit).alias(f"{prefix}_name"),
+            F.min_by("_d", hit).alias(f"{prefix}_km"),
+        ]
+    columns = [f"{p}_{what}" for p in [*lookups, "place"] for what in ("name", "km")]
+    near = pairs.groupBy("_p").agg(*found).select("_p.*", *columns)
     coordinates = F.format_string("Location (%.4f, %.4f)", F.col(at[0]), F.col(at[1]))
     label = F.coalesce(F.concat(F.lit("near "), F.col("place_name")), coordinates)
-    return named.withColumn("place", label).drop("place_name", "place_km")
+    return near.withColumn("place", label).drop("place_name", "place_km")
 
 
 def _ranked_cells(cells: DataFrame):
@@ -65,8 +78,6 @@ def _ranked_cells(cells: DataFrame):
 
 def _position(df: DataFrame, order: list[Column], top: int) -> DataFrame:
     """Top rows with their 0-based position; only ``top`` rows are numbered."""
-    from pyspark.sql import Window
-
     best = top_k(df, order, top)
     number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1
     return best.withColumn("position", number)
@@ -113,10 +124,8 @@ def v2x_upgrades(cells: DataFrame, sites: DataFrame, top: int = 3) -> DataFrame:
     _, order = _ranked_cells(cells)
     best = _position(v2x_candidates(cells, sites), order, top)
     is_v2x = F.col("site_category") == V2X
-    named = with_nearest_site(best, sites.where(is_v2x), "v2x")
-    named = with_nearest_site(named, sites.where(~is_v2x), "site")
-    named = with_nearest_site(named, community_buildings(sites), "community")
-    named = place_label(named, sites)
+    lookups = {"v2x": is_v2x, "site": ~is_v2x, "community": is_community_building(F.col("charge_point_location"))}
+    named = describe_places(best, sites, lookups)
     detail = F.concat(
         F.format_string(
             "High-risk area near **%s** has a chargepoint (%s) but no V2X coverage within 3 km. ",
@@ -150,9 +159,7 @@ def new_chargepoints(cells: DataFrame, sites: DataFrame, top: int = 3) -> DataFr
     """The riskiest cells without any charge point in reach."""
     _, order = _ranked_cells(cells)
     best = _position(uncovered_cells(cells, sites), order, top)
-    named = with_nearest_site(best, sites, "site")
-    named = with_nearest_site(named, community_buildings(sites), "community")
-    named = place_label(named, sites)
+    named = describe_places(best, sites, {"site": F.lit(True), "community": is_community_building(F.col("charge_point_location"))})
     detail = F.concat(
         F.format_string("High-risk area near **%s** has no chargepoints within 3 km. ", "place"),
         F.format_string(
@@ -413,8 +420,6 @@ def cross_reference_risk(
         F.col("lat").alias("_clat"), F.col("lon").alias("_clon"), "risk_level", "confidence",
         "prob_high", "prob_medium", F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"),
     )
-    from gridspark.operators.spatial import nearest_by_position
-
     near = nearest_by_position(
         planned, right, LATLON, ("_clat", "_clon"), ["cell_lat", "cell_lon"],
         distance="nearest_risk_cell_km",
@@ -434,8 +439,6 @@ def cross_reference_risk(
 
 def cross_reference_sites(planned: DataFrame, sites: DataFrame, radius: float = 10.0):
     """Charge points around: how many, the nearest, and the five nearest in reach as an array."""
-    from gridspark.operators.spatial import nearest_by_position
-
     right = sites.select(
         F.col("charge_point_location").alias("name"), F.col("site_category").alias("category"),
         F.col("latitude").alias("_slat"), F.col("longitude").alias("_slon"),
