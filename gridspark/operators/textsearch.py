@@ -6,11 +6,14 @@ many documents there are.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
 # The characters that end a line, and blanks around it.
 _LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+_ENDS_LINE = "[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
@@ -27,10 +30,10 @@ def search_documents(
     ``match_count`` counts all matching lines; ``matches`` holds the first few with line number,
     trimmed line and the lines around.
     """
-    hits = F.filter(
-        F.transform("_lines", lambda line, i: F.struct(i.alias("i"), line.alias("line"))),
-        lambda s: F.contains(F.lower(s["line"]), F.lit(keyword.lower())),
-    )
+    wanted = keyword.lower()
+
+    def hit(s: Column) -> Column:
+        return F.contains(F.lower(s["line"]), F.lit(wanted))
 
     def shown(s: Column) -> Column:
         start = F.greatest(F.lit(0), s["i"] - context)
@@ -42,11 +45,15 @@ def search_documents(
             F.array_join(around, "\n").alias("context"),
         )
 
-    # the cheap test first: documents without the keyword are never split
-    candidates = df.where(F.contains(F.lower(text), F.lit(keyword.lower())))
-    found = candidates.withColumn("_lines", lines_of(F.col(text))).withColumn("_hits", hits)
+    if re.search(_ENDS_LINE, keyword):
+        candidates = df.where(F.lit(False))  # no line holds a line break
+    else:
+        # the whole text tells whether any line matches: other documents are never split
+        candidates = df.where(F.contains(F.lower(text), F.lit(wanted)))
+    numbered = F.transform("_lines", lambda line, i: F.struct(i.alias("i"), line.alias("line")))
     return (
-        found.where(F.size("_hits") > 0)
+        candidates.withColumn("_lines", lines_of(F.col(text)))
+        .withColumn("_hits", F.filter(numbered, hit))
         .withColumn("match_count", F.size("_hits"))
         .withColumn("matches", F.transform(F.slice("_hits", 1, first), shown))
         .drop("_lines", "_hits", text)
@@ -54,9 +61,13 @@ def search_documents(
 
 
 def match_rows(found: DataFrame) -> DataFrame:
-    """One row per shown match."""
+    """One row per shown match.
+
+    The outer form keeps Spark from inferring a filter on the array, which would be pushed down
+    to the scan and search every text twice.
+    """
     keep = [c for c in found.columns if c != "matches"]
-    return found.select(*keep, F.inline("matches"))
+    return found.select(*keep, F.inline_outer("matches"))
 
 
 def document_titles(df: DataFrame, text: str = "text") -> DataFrame:
