@@ -1,7 +1,7 @@
 """Grid-cell features, labels and sliding-window training samples.
 
-The outage rows are read once and combined to one row per month and cell (whole table: one row
-per cell). Windows are then built from these partial results, never from the rows.
+The outage rows are read once and combined per month, cell, cause and substation. Windows are
+then built from these partial results, never from the rows.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from gridspark.functions import outage as out
 from gridspark.functions.coerce import ratio, to_double
 from gridspark.functions.geo import CELL_DEGREES, cell_index
 from gridspark.operators.spatial import located, nearest_by_position
+from gridspark.session import materialize
 
 DURATION_CAP_HOURS = 168.0
 RISK_LEVELS = ("Low", "Medium", "High")
@@ -54,11 +55,16 @@ def model_rows(df: DataFrame, cell_size: float = CELL_DEGREES) -> DataFrame:
     )
 
 
-# Sums that add up over months, per cell and per substation.
-def _cell_partials(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return (
+def combined_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per cell, cause and substation with everything that adds up, stored.
+
+    All features and labels come from this table, so the outages are read once. It is written to
+    the shared folder because its users need different columns of it: left to the planner, each
+    would prune it differently and read the outages again.
+    """
+    grouped = (
         rows.where(F.col("ci").isNotNull() & F.col("cj").isNotNull())
-        .groupBy(*keys, "ci", "cj")
+        .groupBy(*keys, "ci", "cj", "cause", "substation")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.sum("hours").alias("s"),
@@ -68,27 +74,31 @@ def _cell_partials(rows: DataFrame, keys: list[str]) -> DataFrame:
             F.count_if("is_winter").alias("winter"),
             F.count_if("is_night").alias("night"),
             F.count_if("is_exceptional").alias("exceptional"),
+            F.sum("latitude").alias("lat_sum"),
+            F.sum("longitude").alias("lon_sum"),
         )
     )
+    return materialize(grouped, "combined")
+
 
+_SUMS = ("n", "s", "ss", "minutes", "winter", "night", "exceptional")
 
-def _cause_partials(rows: DataFrame, keys: list[str]) -> DataFrame:
-    known = rows.where(
-        F.col("cause").isNotNull() & F.col("ci").isNotNull() & F.col("cj").isNotNull()
+
+def _cell_partials(combined: DataFrame, keys: list[str]) -> DataFrame:
+    return combined.groupBy(*keys, "ci", "cj").agg(
+        *[F.sum(c).alias(c) for c in _SUMS], F.max("top").alias("top")
     )
+
+
+def _cause_partials(combined: DataFrame, keys: list[str]) -> DataFrame:
+    known = combined.where(F.col("cause").isNotNull())
     return known.select(*keys, "ci", "cj", "cause").distinct()
 
 
-def _substation_partials(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return (
-        located(rows)
-        .where(F.col("substation").isNotNull())
-        .groupBy(*keys, "substation")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum("latitude").alias("lat"),
-            F.sum("longitude").alias("lon"),
-        )
+def _substation_partials(combined: DataFrame, keys: list[str]) -> DataFrame:
+    known = combined.where(F.col("substation").isNotNull())
+    return known.groupBy(*keys, "substation").agg(
+        *[F.sum(c).alias(c) for c in ("n", "lat_sum", "lon_sum")]
     )
 
 
@@ -98,8 +108,7 @@ def _assemble(
     """Features per (keys, cell) from partial results that may still hold several months."""
     cell = [*keys, "ci", "cj"]
     totals = cells.groupBy(*cell).agg(
-        *[F.sum(c).alias(c) for c in ("n", "s", "ss", "minutes", "winter", "night", "exceptional")],
-        F.max("top").alias("top"),
+        *[F.sum(c).alias(c) for c in _SUMS], F.max("top").alias("top")
     )
     n, s = F.col("n"), F.col("s")
     variance = ratio(F.greatest(F.lit(0.0), F.col("ss") - s * s / n), F.when(n > 1, n - 1))
@@ -121,7 +130,8 @@ def _assemble(
     )
     diversity = causes.distinct().groupBy(*cell).agg(F.count(F.lit(1)).alias("cause_diversity"))
     places = stations.groupBy(*keys, "substation").agg(
-        (F.sum("lat") / F.sum("n")).alias("_slat"), (F.sum("lon") / F.sum("n")).alias("_slon")
+        (F.sum("lat_sum") / F.sum("n")).alias("_slat"),
+        (F.sum("lon_sum") / F.sum("n")).alias("_slon"),
     )
     near = nearest_by_position(
         base.select(*keys, "lat", "lon"), places, ("lat", "lon"), ("_slat", "_slon"),
@@ -162,7 +172,7 @@ def grid_features(
     cell_size: float = CELL_DEGREES,
 ) -> DataFrame:
     """One row of features per cell with outages; with ``grid`` every grid cell, zeros filled."""
-    rows = model_rows(in_window(outages, start, end), cell_size)
+    rows = combined_rows(model_rows(in_window(outages, start, end), cell_size), [])
     found = _assemble(
         _cell_partials(rows, []), _cause_partials(rows, []), _substation_partials(rows, []),
         [], cell_size,
@@ -247,16 +257,10 @@ def _to_cutoffs(
 
 
 def label_counts(
-    outages: DataFrame, prediction_months: int = 3, start_year: int = 2000, step_months: int = 1,
-    cell_size: float = CELL_DEGREES,
-) -> DataFrame:
+    combined: DataFrame, first: Column, last: Column, prediction_months: int, step_months: int
+) -> DataFrame:
     """Outages per (cutoff, cell) in the months after each cutoff, with the cutoff's percentile."""
-    first, last = _cutoffs(outages, prediction_months, start_year)
-    rows = model_rows(outages, cell_size)
-    monthly = rows.where(F.col("ci").isNotNull() & F.col("m").isNotNull()).groupBy(
-        "m", "ci", "cj"
-    )
-    monthly = monthly.agg(F.count(F.lit(1)).alias("n"))
+    monthly = combined.groupBy("m", "ci", "cj").agg(F.sum("n").alias("n"))
     spread = _to_cutoffs(monthly, first, last, 1 - prediction_months, 0, step_months)
     counts = spread.groupBy("c", "ci", "cj").agg(F.sum("n").alias("future_outage_count"))
     q67 = counts.groupBy("c").agg(F.percentile("future_outage_count", F.lit(0.67)).alias("q67"))
@@ -273,7 +277,7 @@ def training_samples(
     windows of m-2 .. m, so monthly partial results are repeated instead of joining on ranges.
     """
     first, last = _cutoffs(outages, prediction_months, start_year)
-    rows = model_rows(outages, cell_size).where(F.col("m").isNotNull())
+    rows = combined_rows(model_rows(outages, cell_size).where(F.col("m").isNotNull()), ["m"])
 
     def spread(df: DataFrame) -> DataFrame:
         return _to_cutoffs(df, first, last, 1, feature_months, step_months)
@@ -285,7 +289,7 @@ def training_samples(
         ["c"],
         cell_size,
     )
-    labels = label_counts(outages, prediction_months, start_year, step_months, cell_size)
+    labels = label_counts(rows, first, last, prediction_months, step_months)
     joined = features.join(labels, ["c", "ci", "cj"], "left")
     count = F.coalesce("future_outage_count", F.lit(0)).cast("bigint")
     cutoff = F.make_date(F.floor(F.col("c") / 12), F.col("c") % 12 + 1, F.lit(1))

@@ -14,32 +14,39 @@ from gridspark.operators.spatial import LATLON, located
 TILE_DEGREES = 0.25
 
 
-def _ring_crossings(ring: Column, lat: Column, lon: Column) -> Column:
-    """How many edges of a ring a ray towards growing longitude crosses."""
-    last = F.size(ring)
-    steps = F.when(last >= 2, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-
-    def crosses(i: Column) -> Column:
-        a = F.element_at(ring, i)
-        b = F.element_at(ring, F.when(i == last, F.lit(1)).otherwise(i + 1))
-        x1, y1, x2, y2 = a[0], a[1], b[0], b[1]
-        straddles = (y1 > lat) != (y2 > lat)
-        at = x1 + F.try_divide((lat - y1) * (x2 - x1), y2 - y1)
+def _edges(rings: Column) -> Column:
+    """All edges of a polygon, rings closed where they are not."""
+
+    def of(ring: Column) -> Column:
+        n = F.size(ring)
+        steps = F.when(n >= 2, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+        def edge(i: Column) -> Column:
+            a = F.element_at(ring, i)
+            b = F.element_at(ring, F.when(i == n, F.lit(1)).otherwise(i + 1))
+            return F.struct(
+                a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")
+            )
+
+        return F.transform(steps, edge)
+
+    return F.flatten(F.transform(rings, of))
+
+
+def _odd_crossings(edges: Column, lat: Column, lon: Column) -> Column:
+    """Whether a ray towards growing longitude crosses an odd number of edges."""
+
+    def crosses(e: Column) -> Column:
+        straddles = (e["y1"] > lat) != (e["y2"] > lat)
+        at = e["x1"] + F.try_divide((lat - e["y1"]) * (e["x2"] - e["x1"]), e["y2"] - e["y1"])
         return straddles & (lon < at)
 
-    return F.size(F.filter(steps, crosses))
+    return F.size(F.filter(edges, crosses)) % 2 == 1
 
 
 def contains_point(polygons: Column, lat: Column, lon: Column) -> Column:
     """Whether any polygon contains the point. Points exactly on an edge are unspecified."""
-
-    def inside(rings: Column) -> Column:
-        total = F.aggregate(
-            rings, F.lit(0), lambda acc, ring: acc + _ring_crossings(ring, lat, lon)
-        )
-        return total % 2 == 1
-
-    return F.exists(polygons, inside)
+    return F.exists(polygons, lambda rings: _odd_crossings(_edges(rings), lat, lon))
 
 
 def with_bounds(df: DataFrame, column: str = "polygons") -> DataFrame:
@@ -66,13 +73,12 @@ def region_at_point(regions: DataFrame, lat: float, lon: float) -> DataFrame:
     return regions_at_point(regions, lat, lon).orderBy("name").limit(1)
 
 
-def polygon_pairs(
-    points: DataFrame, regions: DataFrame, at: tuple[str, str] = LATLON, region_cols=("name",)
-) -> DataFrame:
-    """Distinct point positions (``site_lat``, ``site_lon``) with the regions containing them.
+def _hits(points: DataFrame, regions: DataFrame, at, region_cols) -> DataFrame:
+    """Positions with the polygon parts containing them (a region once per part).
 
     Positions and bounding boxes meet on fixed tiles, so a position is only tested against the
-    polygons whose box reaches into its tile.
+    parts whose box reaches into its tile, and only against edges at the tile's latitudes: no
+    other edge can be crossed. Large outlines are thus not repeated whole for every tile.
     """
 
     def tile(x: Column) -> Column:
@@ -85,19 +91,35 @@ def polygon_pairs(
         .distinct()
         .withColumns({"ti": tile(lat), "tj": tile(lon)})
     )
+    parts = regions.select(*region_cols, F.explode("polygons").alias("_rings"))
+    south = F.col("ti") * TILE_DEGREES
+    near_edges = F.filter(
+        F.col("_edges"),
+        lambda e: (F.least(e["y1"], e["y2"]) <= south + TILE_DEGREES)
+        & (F.greatest(e["y1"], e["y2"]) >= south),
+    )
     boxed = (
-        with_bounds(regions)
-        .select(*region_cols, "polygons", "x0", "x1", "y0", "y1")
+        with_bounds(parts.withColumn("_one", F.array("_rings")), "_one")
+        .withColumn("_edges", _edges(F.col("_rings")))
+        .drop("_rings", "_one")
         .withColumn("ti", F.explode(F.sequence(tile(F.col("y0")), tile(F.col("y1")))))
+        .withColumn("_edges", near_edges)
         .withColumn("tj", F.explode(F.sequence(tile(F.col("x0")), tile(F.col("x1")))))
     )
     near = places.join(boxed, ["ti", "tj"]).where(
         lat.between(F.col("y0"), F.col("y1")) & lon.between(F.col("x0"), F.col("x1"))
     )
-    inside = near.where(contains_point(F.col("polygons"), lat, lon))
+    inside = near.where(_odd_crossings(F.col("_edges"), lat, lon))
     return inside.select("site_lat", "site_lon", *region_cols)
 
 
+def polygon_pairs(
+    points: DataFrame, regions: DataFrame, at: tuple[str, str] = LATLON, region_cols=("name",)
+) -> DataFrame:
+    """Distinct point positions (``site_lat``, ``site_lon``) with the regions containing them."""
+    return _hits(points, regions, at, region_cols).distinct()
+
+
 def tag_regions(
     points: DataFrame, regions: DataFrame, at: tuple[str, str] = LATLON, tag: str = "region"
 ) -> DataFrame:
@@ -106,7 +128,7 @@ def tag_regions(
     if missing:
         raise ValueError(f"missing coordinate columns: {missing}")
     found = (
-        polygon_pairs(points, regions, at)
+        _hits(points, regions, at, ("name",))
         .groupBy(F.col("site_lat").alias("_slat"), F.col("site_lon").alias("_slon"))
         .agg(F.min("name").alias(tag))
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BINS = 64
+BINS = 256
 
 
 def exact_quantiles(df: DataFrame, value: Column, probs: list[float], by: list[str] = ()):

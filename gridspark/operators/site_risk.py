@@ -251,7 +251,8 @@ def overlapping_outages(
     sites: DataFrame, outages: DataFrame, radius: float = geo.TWO_MILES_KM, least: int = 2
 ) -> DataFrame:
     """Outages that lie in the buffers of at least ``least`` sites, with the number of sites."""
-    counts = radius_aggregate(outages, sites, radius, {"sites_in_reach": ("count", F.lit(1))})
+    n = {"sites_in_reach": ("count", F.lit(1))}
+    counts = radius_aggregate(outages, sites, radius, n, repeat="right")
     return attach_by_position(
         located(outages), counts.where(F.col("sites_in_reach") >= least), how="inner"
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 SPLIT_ROWS = 500_000
+MAX_HOT_KEYS = 100_000
 
 
 def split_hot_keys(big: DataFrame, small: DataFrame, keys: list[str], rows: int = SPLIT_ROWS):
@@ -12,11 +13,17 @@ def split_hot_keys(big: DataFrame, small: DataFrame, keys: list[str], rows: int
 
     Returns both sides with an added ``_part`` column to join on together with ``keys``. Rows of a
     hot key in ``big`` are dealt over ``ceil(n / rows)`` parts and the matching rows of ``small``
-    are repeated once per part, so each pair still meets exactly once. The table of hot keys has at
-    most ``len(big) / rows`` rows; keys that are not hot keep the single part 0.
+    are repeated once per part, so each pair still meets exactly once. All other keys keep the
+    single part 0.
+
+    Only the hottest keys are listed, at most ``MAX_HOT_KEYS`` (a few megabytes), which is why the
+    list can be broadcast and neither side is shuffled for it. Splitting never changes the result.
     """
     counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
-    hot = counts.select(*keys, F.ceil(F.col("_n") / rows).cast("int").alias("_parts"))
+    hottest = counts.orderBy(F.col("_n").desc(), *keys).limit(MAX_HOT_KEYS)
+    hot = F.broadcast(
+        hottest.select(*keys, F.ceil(F.col("_n") / rows).cast("int").alias("_parts"))
+    )
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c not in keys]), parts)
     left = big.join(hot, keys, "left").withColumn("_part", spread.cast("int")).drop("_parts")

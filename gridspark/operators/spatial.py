@@ -69,17 +69,22 @@ def radius_join(
     strict: bool = False,
     distance: str = "distance_km",
     split_rows: int | None = SPLIT_ROWS,
+    repeat: str = "left",
 ) -> DataFrame:
     """All pairs within ``radius``; column names of the two sides must not overlap.
 
-    The left side should be the smaller one: its rows are repeated once per bucket in reach, the
-    right side keeps one row per point. Buckets with more than ``split_rows`` points are split.
+    The ``repeat`` side, which should be the smaller one, has its rows repeated once per bucket in
+    reach; the other side keeps one row per point. Its buckets with more than ``split_rows``
+    points are split.
     """
     keys = ["band", "slot"]
-    near = geo.buckets_near(F.col(left_at[0]), F.col(left_at[1]), radius, metric)
-    mine = located(left, left_at).withColumn("_b", F.explode(near)).select("*", "_b.*").drop("_b")
-    own = geo.bucket_of(F.col(right_at[0]), F.col(right_at[1]), radius, metric)
-    theirs = located(right, right_at).withColumn("_b", own).select("*", "_b.*").drop("_b")
+    few, few_at, many, many_at = left, left_at, right, right_at
+    if repeat == "right":
+        few, few_at, many, many_at = right, right_at, left, left_at
+    near = geo.buckets_near(F.col(few_at[0]), F.col(few_at[1]), radius, metric)
+    mine = located(few, few_at).withColumn("_b", F.explode(near)).select("*", "_b.*").drop("_b")
+    own = geo.bucket_of(F.col(many_at[0]), F.col(many_at[1]), radius, metric)
+    theirs = located(many, many_at).withColumn("_b", own).select("*", "_b.*").drop("_b")
     if split_rows:
         theirs, mine = split_hot_keys(theirs, mine, keys, split_rows)
         keys = [*keys, "_part"]
@@ -105,6 +110,7 @@ def radius_aggregate(
     by: list[str] = (),
     metric: str = "haversine",
     strict: bool = False,
+    repeat: str = "left",
 ) -> DataFrame:
     """Aggregates of the points around every distinct site position.
 
@@ -125,7 +131,7 @@ def radius_aggregate(
     )
     pairs = radius_join(
         places, partial, radius, ("site_lat", "site_lon"), ("_plat", "_plon"), metric, strict,
-        distance="_d", split_rows=None,
+        distance="_d", split_rows=None, repeat=repeat,
     )
     return pairs.groupBy("site_lat", "site_lon", *by).agg(
         *[_MERGE[kind](name).alias(name) for name, (kind, _) in measures.items()]
@@ -203,10 +209,16 @@ def _candidate_cells(
     left: DataFrame, right: DataFrame, metric: str, k: int, keys: list[str]
 ) -> DataFrame:
     """Pairs of finest cells that can hold one of the ``k`` nearest."""
-    # Start: the few coarsest right cells for every left cell, joined on a constant key.
-    root = _right_level(right, _LEVELS, keys).select(*keys, "ri", "rj", "n", F.lit(0).alias("root"))
-    start = left.select(*keys, "li", "lj", F.lit(0).alias("root"))
-    front = _prune(start.join(root, [*keys, "root"]).drop("root"), _LEVELS, metric, k, keys)
+    # Start: the coarsest right cells (at most 36 x 71, usually a few) for every left cell. Without
+    # keys they travel as one array, so the left cells stay where they are.
+    root = _right_level(right, _LEVELS, keys).select(*keys, "ri", "rj", "n")
+    start = left.select(*keys, "li", "lj")
+    if keys:
+        start = start.join(root, keys)
+    else:
+        cells = root.agg(F.collect_list(F.struct("ri", "rj", "n")).alias("r")).scalar()
+        start = start.select("li", "lj", F.inline(cells))
+    front = _prune(start, _LEVELS, metric, k, keys)
     for level in range(_LEVELS - 1, -1, -1):
         parents = front.withColumnsRenamed({"ri": "pi", "rj": "pj"})
         pairs = parents.join(_right_level(right, level, keys), [*keys, "pi", "pj"])

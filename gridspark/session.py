@@ -9,7 +9,8 @@ from pyspark.sql import SparkSession
 
 # Settings every job of this package relies on. AQE does the runtime work: it turns a join into a
 # broadcast join only after it has measured the side, splits skewed shuffle partitions, and
-# coalesces small ones. There is no ``broadcast()`` hint anywhere in the package.
+# coalesces small ones. The one ``broadcast()`` hint (operators/skew.py) is on a list of limited
+# length.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",

@@ -10,29 +10,21 @@ from gridspark import schemas
 TAGGING_NAME_FIELDS = ("CTY23NM", "CTY22NM", "CTY21NM", "CTY20NM", "name", "NAME")
 BOUNDARY_NAME_FIELDS = ("local_authority", "county", "name")
 
-_FILE = T.StructType(
+_FEATURE = T.StructType(
     [
+        T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
         T.StructField(
-            "features",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
-                        T.StructField(
-                            "geometry",
-                            T.StructType(
-                                [
-                                    T.StructField("type", T.StringType()),
-                                    T.StructField("coordinates", T.StringType()),
-                                ]
-                            ),
-                        ),
-                    ]
-                )
+            "geometry",
+            T.StructType(
+                [
+                    T.StructField("type", T.StringType()),
+                    T.StructField("coordinates", T.StringType()),
+                ]
             ),
-        )
+        ),
     ]
 )
+_FILE = T.StructType([T.StructField("features", T.ArrayType(_FEATURE))])
 
 
 def multipolygon(kind: Column, coordinates: Column) -> Column:
@@ -42,10 +34,19 @@ def multipolygon(kind: Column, coordinates: Column) -> Column:
     return F.when(kind == "Polygon", F.array(one)).when(kind == "MultiPolygon", many)
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Features as ``feature_id``, ``properties`` (map), ``geometry_type``, ``polygons``."""
-    files = spark.read.schema(_FILE).option("multiLine", True).json(path)
-    rows = files.select(F.posexplode("features").alias("feature_id", "f"))
+def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Features as ``feature_id``, ``properties`` (map), ``geometry_type``, ``polygons``.
+
+    A feature collection is one JSON document per file and so one task per file. Large layers
+    should be stored one feature per line (``write_feature_lines``) and read with ``lines``.
+    """
+    if lines:
+        rows = spark.read.schema(_FEATURE).json(path).select(
+            F.monotonically_increasing_id().alias("feature_id"), F.struct("*").alias("f")
+        )
+    else:
+        files = spark.read.schema(_FILE).option("multiLine", True).json(path)
+        rows = files.select(F.posexplode("features").alias("feature_id", "f"))
     kind = F.col("f.geometry.type")
     return rows.select(
         "feature_id",
@@ -67,9 +68,11 @@ def name_field(features: DataFrame, candidates) -> str:
     raise ValueError(f"no name field among {list(candidates)}")
 
 
-def read_regions(spark: SparkSession, path: str, candidates=TAGGING_NAME_FIELDS) -> DataFrame:
+def read_regions(
+    spark: SparkSession, path: str, candidates=TAGGING_NAME_FIELDS, lines: bool = False
+) -> DataFrame:
     """Named boundary polygons."""
-    features = read_features(spark, path)
+    features = read_features(spark, path, lines)
     field = name_field(features, candidates)
     return features.select(
         F.col("feature_id").alias("region_id"),
@@ -78,9 +81,9 @@ def read_regions(spark: SparkSession, path: str, candidates=TAGGING_NAME_FIELDS)
     )
 
 
-def read_tenders(spark: SparkSession, path: str) -> DataFrame:
+def read_tenders(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Flexibility tenders: the feed's properties as columns, plus the polygons."""
-    features = read_features(spark, path)
+    features = read_features(spark, path, lines)
     fields = [F.col("properties").getItem(n).alias(n) for n in schemas.TENDER_FIELDS]
     return features.select("feature_id", *fields, "geometry_type", "polygons")
 
