@@ -125,11 +125,18 @@ WHERE n_nationkey NOT IN (3, 9, 14, 22)
 """
 
 
+_READ: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def use(spark: SparkSession, sf_dir: str) -> SparkSession:
-    """Register the tables of one data folder as views."""
+    """Register the tables of one data folder as views; footers are read once per session."""
     configure(spark)
+    app = spark.sparkContext.applicationId
     for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        key = (app, sf_dir, name)
+        if key not in _READ:
+            _READ[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        _READ[key].createOrReplaceTempView(name)
     return spark
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridspark.functions import geo
 from gridspark.operators.skew import SPLIT_ROWS, split_hot_keys
+from gridspark.session import materialize
 
 LATLON = ("latitude", "longitude")
 
@@ -159,14 +160,6 @@ _FANOUT = 8
 _LEVELS = 3  # 0.01, 0.08, 0.64, 5.12 degrees: the coarsest has at most 36 x 71 cells on Earth
 
 
-def _cells(points: DataFrame, at: tuple[str, str], i: str, j: str, keys: list[str]) -> DataFrame:
-    return (
-        points.select(*keys, *[c.alias(n) for n, c in _finest(*at, i, j).items()])
-        .groupBy(*keys, i, j)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
 def _right_level(cells: DataFrame, level: int, keys: list[str]) -> DataFrame:
     """Right cells of one grid with their number of points and the key of the cell above."""
     if level:
@@ -266,11 +259,14 @@ def nearest_by_position(
     else:
         order = Window.partitionBy(*keys, *right_at).orderBy(*tie)
         rows = valid.withColumn("_o", F.row_number().over(order)).where(F.col("_o") <= k).drop("_o")
-    lcells = _cells(places, ("site_lat", "site_lon"), "li", "lj", keys)
-    rcells = _cells(rows, right_at, "ri", "rj", keys)
+    # Both sides are used on every level and once more for the points. Stored once in the shared
+    # folder, whatever lies behind them is computed once.
+    a = materialize(places.withColumns(_finest("site_lat", "site_lon", "li", "lj")), "left")
+    b = materialize(rows.withColumns(_finest(*right_at, "ri", "rj")), "right")
+    count = F.count(F.lit(1)).alias("n")
+    lcells = a.groupBy(*keys, "li", "lj").agg(count)
+    rcells = b.groupBy(*keys, "ri", "rj").agg(count)
     near = _candidate_cells(lcells, rcells, metric, k, keys)
-    a = places.withColumns(_finest("site_lat", "site_lon", "li", "lj"))
-    b = rows.withColumns(_finest(*right_at, "ri", "rj"))
     d = geo.distance(
         metric, F.col("site_lat"), F.col("site_lon"), F.col(right_at[0]), F.col(right_at[1])
     )

@@ -76,10 +76,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Means of whole minutes often end exactly half-way at six digits; these are compared finer.
+_FINE = {"avg_duration", "history_avg_duration"}
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison, negative zero removed."""
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in doubles})
+    return df.withColumns(
+        {c: F.round(F.col(c), 9 if c in _FINE else digits) + F.lit(0.0) for c in doubles}
+    )
 
 
 def text_times(df: DataFrame) -> DataFrame:

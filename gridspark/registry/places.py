@@ -113,7 +113,7 @@ FROM outages GROUP BY 1 ORDER BY outage_count DESC, district_name LIMIT 5""",
     with_(
         "burden_top",
         """SELECT CASE WHEN outage_count > 50 THEN 'High' ELSE 'Medium' END AS priority,
-  'Grid resilience priority: ' || district_name AS title, outage_count, round(avg_duration, 6) AS avg_duration,
+  'Grid resilience priority: ' || district_name AS title, outage_count, round(avg_duration, 9) AS avg_duration,
   round(total_hours, 4) AS total_hours, winter_count FROM burden_top""",
     ),
 )
@@ -519,7 +519,7 @@ _INC_OUT = hav("i.latitude", "i.longitude", "o.latitude", "o.longitude")
     with_(
         "incidents preds sites outages",
         f"""SELECT i.incident_num, i.day, c.risk_level, round(c.km, 6) AS cell_distance_km, s.name AS nearest_name,
-  round(s.km, 6) AS nearest_km, COALESCE(h.n, 0) AS history_count, round(h.a, 6) AS history_avg_duration,
+  round(s.km, 6) AS nearest_km, COALESCE(h.n, 0) AS history_count, round(h.a, 9) AS history_avg_duration,
   round(h.c, 4) AS history_customer_hours
 FROM (SELECT *, strftime(snapshot, '%Y-%m-%d') AS day FROM incidents) i
 JOIN (SELECT latitude, longitude, arg_min(risk_level, (round({_INC_CELL}, 9), lat, lon)) AS risk_level, min({_INC_CELL}) AS km

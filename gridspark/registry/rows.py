@@ -640,7 +640,7 @@ def c7(d: Domain):
     "c7_query_summary",
     with_(
         "outages",
-        f"""SELECT count(*) AS match_count, round(COALESCE(avg(COALESCE(duration_hours, 0)), 0), 6) AS avg_duration,
+        f"""SELECT count(*) AS match_count, round(COALESCE(avg(COALESCE(duration_hours, 0)), 0), 9) AS avg_duration,
   round(COALESCE(sum(COALESCE(customer_affected, 0) * COALESCE(duration_hours, 0)), 0), 4) AS total_customer_hours
 FROM outages WHERE {_C7_WHERE}""",
     ),

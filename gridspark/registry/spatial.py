@@ -295,7 +295,7 @@ def d9s(d: Domain):
     "d10_planar_buffer_stats",
     with_(
         "sites outages",
-        f"""SELECT s.{_SITE}, count(o.row_id) AS outages, round(avg(o.duration_hours), 6) AS avg_duration,
+        f"""SELECT s.{_SITE}, count(o.row_id) AS outages, round(avg(o.duration_hours), 9) AS avg_duration,
   {stamp("max(o.incident_date_time)")} AS latest_outage
 FROM sites s LEFT JOIN outages o ON 6371.0 * radians({deg("s.latitude", "s.longitude", "o.latitude", "o.longitude")}) <= 3.218
 GROUP BY 1""",
@@ -319,7 +319,7 @@ _PLACE = deg("54.5", "-2.75", "latitude", "longitude")
   count(CASE WHEN g < 10 / 111.0 THEN 1 END) AS within_10km,
   count(CASE WHEN g < 20 / 111.0 THEN 1 END) AS within_20km,
   count(CASE WHEN g < 0.05 THEN 1 END) AS close_outages,
-  round(avg(CASE WHEN g < 0.05 THEN duration_hours END), 6) AS avg_duration,
+  round(avg(CASE WHEN g < 0.05 THEN duration_hours END), 9) AS avg_duration,
   round(avg(CASE WHEN g < 0.05 THEN customer_affected END), 6) AS avg_customers
 FROM (SELECT *, {_PLACE} AS g FROM outages) t""",
     ),
@@ -463,7 +463,7 @@ def d15(d: Domain):
     "e1_site_summary",
     with_(
         "site_stats",
-        f"""SELECT {_SITE}, site_category, outages, round(COALESCE(avg_duration, 0), 6) AS avg_duration,
+        f"""SELECT {_SITE}, site_category, outages, round(COALESCE(avg_duration, 0), 9) AS avg_duration,
   round(customer_hours, 6) AS customer_hours,
   CASE WHEN outages > 20 THEN 'High Risk' WHEN outages > 10 THEN 'Medium Risk' ELSE 'Low Risk' END AS risk_label
 FROM site_stats""",

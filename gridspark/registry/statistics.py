@@ -312,7 +312,7 @@ def e20d(d: Domain):
     return rounded(risk_query.district_risk_summary(_merged_by_district(d), "NATION_7"))
 
 
-_OUTAGE_SUMMARY = """count(*) AS total, round(avg(COALESCE(duration_hours, 0)), 6) AS avg_duration,
+_OUTAGE_SUMMARY = """count(*) AS total, round(avg(COALESCE(duration_hours, 0)), 9) AS avg_duration,
   round(sum(customer_affected * COALESCE(duration_hours, 0)), 4) AS total_customer_hours
 FROM outages WHERE lower(district_name) = 'nation_7'"""
 
@@ -636,7 +636,7 @@ def e38(d: Domain):
     with_(
         "site_stats",
         f"""SELECT {_SITE}, site_category, latitude, longitude, outages,
-  round(COALESCE(avg_duration, 0), 6) AS avg_duration, {stamp("latest_outage")} AS latest_outage,
+  round(COALESCE(avg_duration, 0), 9) AS avg_duration, {stamp("latest_outage")} AS latest_outage,
   CAST(greatest(8, least(15, outages + 5)) AS INTEGER) AS marker_size
 FROM site_stats WHERE site_category IN ('V2X Chargepoint', 'Other Chargepoint')""",
     ),
