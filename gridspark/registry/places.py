@@ -482,7 +482,32 @@ def i3(d: Domain):
     return text_times(fresh)
 
 
-@query("i3_incident_stream")
+# The state rule in SQL: the known numbers are those of the last day that reported something new.
+piece(
+    "news",
+    "ordered",
+    """SELECT i, j, EXISTS (SELECT 1 FROM ordered a WHERE a.k = j AND a.incident_num NOT IN
+    (SELECT incident_num FROM ordered b WHERE b.k = i)) AS has_new
+FROM (SELECT DISTINCT k AS i FROM ordered) x, (SELECT DISTINCT k AS j FROM ordered) y WHERE i < j""",
+)
+piece(
+    "states",
+    "news",
+    """SELECT CAST(1 AS BIGINT) AS k, CAST(1 AS BIGINT) AS s
+UNION ALL SELECT n.j, CASE WHEN n.has_new THEN n.j ELSE states.s END
+FROM states JOIN news n ON n.i = states.s AND n.j = states.k + 1""",
+)
+
+
+@query(
+    "i3_incident_stream",
+    with_(
+        "states ordered",
+        """SELECT a.incident_num, strftime(a.snapshot, '%Y-%m-%d') AS day FROM ordered a WHERE a.k = 1
+UNION ALL SELECT a.incident_num, strftime(a.snapshot, '%Y-%m-%d') FROM ordered a JOIN states t ON t.k = a.k - 1
+WHERE a.incident_num NOT IN (SELECT incident_num FROM ordered b WHERE b.k = t.s)""",
+    ),
+)
 def i3s(d: Domain):
     """The polled check as a stream, one snapshot per batch, with the exact state rule."""
     base = scratch_dir(d.spark, "incident-stream")
