@@ -367,6 +367,20 @@ def b1(d: Domain):
     )
 
 
+@query(
+    "b1d_longest_when_null",
+    with_(
+        "outages",
+        """SELECT COALESCE(duration_category, 'x > 12 hours') AS duration_category, count(*) AS n
+FROM outages GROUP BY 1""",
+    ),
+)
+def b1d(d: Domain):
+    """The variant that puts a null duration in the longest class."""
+    rows = cleaning.derive_fields(d.raw, null_as_longest=True)
+    return rows.groupBy("duration_category").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "b1f_display_aliases",
     with_(
@@ -419,6 +433,19 @@ def b3(d: Domain):
     return named.select("row_id", "site_name", "site_type", "contact", "email")
 
 
+@query(
+    "b4_site_names",
+    with_(
+        "long_list",
+        """SELECT row_id, town || ' - ' || trim(potential_sites) AS site_name, nullif(trim(contact), '') AS contact,
+  nullif(trim(email), '') AS email, local_authority FROM long_list""",
+    ),
+)
+def b4(d: Domain):
+    named = cleaning.name_long_list(d.view(fx.LONG_LIST))
+    return named.select("row_id", "site_name", "contact", "email", "local_authority")
+
+
 @query(
     "b5_community_buildings",
     with_(

@@ -17,6 +17,7 @@ from gridspark.registry.base import (
     with_,
 )
 from gridspark.registry.rows import tenders
+from gridspark.session import materialize
 
 _SITE = "charge_point_location"
 
@@ -279,8 +280,9 @@ def e20b(d: Domain):
 
 
 def _merged_by_district(d: Domain):
+    """Merged cells with districts, stored: the district filters look at them twice."""
     merged = risk_query.merge_models(d.stacked)
-    return risk_query.with_districts(merged, d.raw)
+    return materialize(risk_query.with_districts(merged, d.raw), "districts")
 
 
 _RISK_SUMMARY = """count(*) AS total_cells, count(CASE WHEN risk_level = 'High' THEN 1 END) AS high_risk_cells,
