@@ -490,10 +490,22 @@ def g8(d: Domain):
     return training.compare(rounds).select("config")
 
 
-@query("g9_smote")
+@query(
+    "g9_smote",
+    with_(
+        "samples",
+        "SELECT risk_level, count(*) AS originals, TRUE AS filled FROM samples GROUP BY 1",
+    ),
+)
 def g9(d: Domain):
-    """Class sizes after oversampling: all equal, up to the random share of extra copies."""
-    return ml.class_distribution(ml.smote(_stored_samples(d)))
+    """Every class reaches the largest one, up to the random share of extra copies."""
+    samples = _stored_samples(d)
+    before = ml.class_distribution(samples).select("risk_level", F.col("n").alias("originals"))
+    after = ml.class_distribution(ml.smote(samples)).select("risk_level", "n")
+    largest = before.agg(F.max("originals").alias("m")).scalar()
+    gap = F.abs(F.col("n") - largest)
+    filled = gap <= F.greatest(F.lit(1.0), 4.0 * F.sqrt(F.col("originals").cast("double")))
+    return before.join(after, "risk_level").select("risk_level", "originals", filled.alias("filled"))
 
 
 _PICK = """CASE WHEN prob_high / th >= prob_low / tl AND prob_high / th >= prob_medium / tm THEN 'High'
