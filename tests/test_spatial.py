@@ -62,7 +62,9 @@ def test_radius_join_is_brute_force(spark, metric, radius, lat, split):
 
 @pytest.mark.parametrize("metric", ["haversine", "planar_rad", "planar_deg"])
 @pytest.mark.parametrize("k", [1, 4])
-def test_nearest_is_brute_force(spark, metric, k):
+@pytest.mark.parametrize("direct", [0, 10_000])
+def test_nearest_is_brute_force(spark, monkeypatch, metric, k, direct):
+    monkeypatch.setattr(spatial, "DIRECT_ROWS", direct)
     # far outliers on both sides, repeated positions, a dense cluster
     left = points(60, 3, hot=20) + [(58.9, -6.5), (50.1, 1.7), (-30.0, 140.0)]
     right = points(200, 4, hot=50) + points(100, 5, (54.0, 54.05), (-2.0, -1.95)) + [(57.5, -6.0)]
@@ -78,7 +80,9 @@ def test_nearest_is_brute_force(spark, metric, k):
         assert [r["rid"] for r in rows] == [j for _, j in want]
 
 
-def test_nearest_within_equal_keys(spark):
+@pytest.mark.parametrize("direct", [0, 128])
+def test_nearest_within_equal_keys(spark, monkeypatch, direct):
+    monkeypatch.setattr(spatial, "DIRECT_ROWS", direct)
     rng = random.Random(9)
     left = [(g, *p) for g in "ab" for p in points(20, g)]
     right = [(g, i, *p) for g in "ab" for i, p in enumerate(points(30, g + "r"))]
@@ -93,6 +97,12 @@ def test_nearest_within_equal_keys(spark):
         assert r["rid"] == best[1]
 
 
+def test_nearest_of_nothing(spark):
+    a, b = frames(spark, points(3, 12), [])
+    got = spatial.nearest_join(a, b, L, R, ["rid"])
+    assert got.count() == 4 and got.where("rid is not null").count() == 0
+
+
 def test_radius_aggregate_counts_rows_at_hot_positions(spark):
     left, right = points(5, 6), points(50, 7, hot=400)
     a, b = frames(spark, left, right)
