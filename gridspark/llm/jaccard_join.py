@@ -12,8 +12,10 @@ Two sets link when ``100 * |A & B| >= 75 * |A | B|``, that is when they share at
   counted over all documents, and a fixed-size filter of the frequent ones defines the order.
   Lists of counted, infrequent shingles are short; their pairs are counted and dropped if the rest of
   both sets can't make up ``c``. Lists of other shingles may be long: every member is compared with one
-  hub per list, members that thereby come into one component need no comparison with each other, and
-  rounds with other hubs go on; what then still lies in different components is compared pair by pair.
+  hub per list, and members that thereby come into one component need no comparison with each other.
+  Where members of a list still lie in different components, all sets that lists chain together are
+  dealt into blocks of ``BLOCK`` sets; for every two blocks a task scans the inverted lists of one for
+  each set of the other, and returns only links that join components.
 
 Pairs that remain are verified on whole texts. Components come from label spreading with shortcuts.
 Nodes are known by 64-bit set hashes; two different sets of n collide with a chance of n^2 / 2^65.
@@ -40,7 +42,7 @@ SHINGLE = 5
 FREQUENT = 16  # documents per shingle above which it counts as frequent
 COUNTED = 0.35  # share of the hash range that is counted
 LARGEST_LIGHT = 12
-HUB_ROUNDS = 3
+BLOCK = 512
 
 _LIMIT = np.uint64(int(COUNTED * 2**64))
 
@@ -266,7 +268,54 @@ def _apart(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(known.join(materialize(open_lists, "join-open"), "h"), "join-members")
 
 
-_FITS = "4 * least(n, m) >= 3 * greatest(n, m)"
+def _scan_blocks(group: pa.Table) -> pa.Table:
+    """Links between two blocks of sets that join different components."""
+    nodes, labels = group.column("node").to_numpy(), group.column("label").to_pylist()
+    left, right = group.column("left").to_numpy(zero_copy_only=False), group.column("right").to_numpy(zero_copy_only=False)
+    _, sets = set_keys(group.column("text"))
+    sizes = np.array([len(x) for x in sets])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    probing, listed = np.flatnonzero(left), np.flatnonzero(right)
+    flat = np.concatenate([sets[k] for k in listed])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(listed, sizes[listed])[order]
+    out = []
+    for x in probing.tolist():
+        lo, hi = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        shared = np.bincount(owner[at], minlength=len(sets))
+        for y in np.flatnonzero((100 * shared >= 75 * (sizes[x] + sizes - shared)) & (shared > 0)).tolist():
+            rx, ry = root(labels[x]), root(labels[y])
+            if rx != ry:
+                parent[rx] = ry
+                out.append((int(nodes[x]), int(nodes[y])))
+    a, b = zip(*out) if out else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _links_in_blocks(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between the components of members (h, node, label) of open lists."""
+    firsts = materialize(rest.groupBy("h").agg(F.min("node").alias("a")), "join-firsts")
+    chained = rest.join(firsts, "h").select("a", F.col("node").alias("b")).distinct()
+    clusters = components(chained).select("node", F.col("label").alias("cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    one = rest.select("node", "label").distinct().join(clusters, "node")
+    one = materialize(one.join(materialize(sizes, "join-sizes"), "cluster"), "join-blocked")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = one.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select(
+        "node", "label", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block"
+    )
+    dealt = dealt.withColumns({"left": F.col("block") == F.col("i"), "right": F.col("block") == F.col("j")})
+    rows = dealt.join(texts, "node").select("cluster", "i", "j", "node", "label", "left", "right", "text")
+    return rows.groupBy("cluster", "i", "j").applyInArrow(_scan_blocks, "a long, b long")
 
 
 def linked_nodes(documents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -304,28 +353,9 @@ def linked_nodes(documents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
     tested = materialize(verified(pairs, texts), "join-tested")
     edges = materialize(tested.where("linked").select("a", "b").unionByName(by_subset), "join-links")
     labels = components(edges)
-    for r in range(HUB_ROUNDS + 1):
-        rest = _apart(members, labels)
-        if rest.limit(1).count() == 0:
-            break
-        if r < HUB_ROUNDS:
-            rank = F.xxhash64(F.lit(r), "node")
-            hub = rest.groupBy("h").agg(F.min_by(F.struct(F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("m")), rank).alias("x"))
-            hub = materialize(hub.select("h", "x.*"), "join-hubs")
-            new = rest.join(hub, "h").where(f"label <> hub_label AND {_FITS}").select(
-                F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")
-            )
-        else:  # all that is left, pair by pair
-            other = rest.select("h", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("m"))
-            new = rest.join(other, "h").where(f"label < hub_label AND {_FITS}").select(
-                F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")
-            )
-        new = materialize(new.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"), "join-pairs")
-        if new.limit(1).count() == 0:
-            continue
-        found = materialize(verified(new, texts), "join-tested")
-        tested = tested.unionByName(found)
-        more = found.where("linked").select("a", "b")
+    rest = _apart(members, labels)
+    if rest.limit(1).count():
+        more = materialize(_links_in_blocks(rest, texts), "join-block-links")
         if more.limit(1).count():
             edges = edges.unionByName(more)
             labels = components(edges)
