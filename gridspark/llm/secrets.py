@@ -229,7 +229,7 @@ def find_secrets(documents: DataFrame) -> DataFrame:
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``documents`` with every secret replaced by ``mark`` (spans that touch become one)."""
     stored = materialize(documents.withColumn("_row", F.monotonically_increasing_id()), "secret-documents")
-    found = scan(stored.drop("_row").withColumn("_key", stored["_row"]), ["_key"])
+    found = scan(stored.withColumnRenamed("_row", "_key"), ["_key"])
     spans = secret_spans(found).join(found.select("_row", "_key"), "_row").select("_key", "start", "end")
     earlier = Window.partitionBy("_key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max("end").over(earlier)

@@ -1,7 +1,7 @@
 """WARC archives with revisit records in place of repeated payloads.
 
-Only headers (digest, length, key) are shuffled: payloads stay where they were read until they are
-written. Archives are written by Spark's own text writer, whose separator is the end of a WARC
+Originals are found from headers alone (digest and key). Payloads move at most once, in the join that
+marks the revisits, and not at all where Spark finds the marks small enough to send to every task. Archives are written by Spark's own text writer, whose separator is the end of a WARC
 record, so a lost executor's files are replaced by the commit protocol and any file system Spark
 knows will do.
 
