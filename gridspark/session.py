@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -48,10 +49,13 @@ def local_session(cores: str | int = "*", app: str = "gridspark", **conf: str) -
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder path under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only a session that names no such folder (a local test) gets one of its own.
+    Only a local session that names no such folder (a test) gets one of its own; on a cluster that
+    would scatter files over machines, so it is an error there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="gridspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/gridspark/{name}-{uuid.uuid4().hex}"
@@ -65,4 +69,16 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def release(*tables) -> None:
+    """Remove the stored rows of materialised ``tables`` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "scratch_path", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
