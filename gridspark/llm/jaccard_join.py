@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridspark.llm.common import bit_filter, in_filter, mix, shingle_hashes, table, text_bytes, word_hashes
-from gridspark.session import materialize
+from gridspark.session import materialize, release
 
 SHINGLE = 5
 FREQUENT = 16  # documents per shingle above which it counts as frequent
@@ -243,20 +243,23 @@ def components(edges: DataFrame) -> DataFrame:
         "join-edges",
     )
     labels = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label"))
-    labels = materialize(labels, "join-labels")
+    labels, stored = materialize(labels, "join-labels"), None
     while True:
         seen = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("theirs")), "other")
         spread = seen.groupBy("node").agg(F.min("theirs").alias("theirs"))
         lower = labels.join(spread, "node").select("node", "label", F.least("label", "theirs").alias("next"))
         lower = materialize(lower, "join-labels")
+        release(labels if stored is None else stored)
         jump = lower.select(F.col("node").alias("next"), F.col("next").alias("further"))
         moved = materialize(
             lower.join(jump, "next", "left").select("node", "label", F.coalesce(F.least("next", "further"), "next").alias("next")),
             "join-labels",
         )
         changed = moved.where("next <> label").limit(1).count()
-        labels = moved.select("node", F.col("next").alias("label"))
+        release(lower)
+        stored, labels = moved, moved.select("node", F.col("next").alias("label"))
         if not changed:
+            release(both)
             return labels
 
 
@@ -341,6 +344,7 @@ def linked_nodes(documents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
     )
     short = _short_list_candidates(postings)
     pairs = materialize(short.unionByName(by_hub).distinct(), "join-pairs")
+    release(postings, several)
 
     # One text per node that has a list mate.
     mates = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
@@ -359,6 +363,7 @@ def linked_nodes(documents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
         if more.limit(1).count():
             edges = edges.unionByName(more)
             labels = components(edges)
+    release(members, texts, pairs)
     return edges, labels
 
 

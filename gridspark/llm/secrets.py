@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gridspark.llm.common import table
-from gridspark.session import materialize
+from gridspark.session import materialize, release
 
 # The patterns of the base kinds, in their order. Runs of at least the wanted length are the longest
 # runs of the open pattern that reach it, so the bound stands in the pattern for two of them.
@@ -228,9 +228,11 @@ def find_secrets(documents: DataFrame) -> DataFrame:
 
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``documents`` with every secret replaced by ``mark`` (spans that touch become one)."""
-    stored = materialize(documents.withColumn("_row", F.monotonically_increasing_id()), "secret-documents")
-    found = scan(stored.withColumnRenamed("_row", "_key"), ["_key"])
-    spans = secret_spans(found).join(found.select("_row", "_key"), "_row").select("_key", "start", "end")
+    # Rows of one id and one text have the same secrets, so these two are the key to join on.
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = documents.withColumn("_h", F.xxhash64(text))
+    found = scan(keyed.select("doc_id", "_h", "text"), ["doc_id", "_h"])
+    spans = secret_spans(found).select(F.col("_row").alias("_key"), "start", "end")
     earlier = Window.partitionBy("_key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max("end").over(earlier)
     opens = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
@@ -240,8 +242,11 @@ def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         F.min("start").alias("start"), F.max("end").alias("end")
     )
     lists = merged.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut"))
-    lists = materialize(lists, "secret-cuts")
-    joined = stored.join(lists, stored["_row"] == lists["_key"], "left").drop("_key")
+    rows = found.select(F.col("_row").alias("_key"), F.col("doc_id").alias("_d"), F.col("_h").alias("_g"))
+    lists = materialize(rows.join(lists, "_key").drop("_key").dropDuplicates(["_d", "_g"]), "secret-cuts")
+    release(found)
+    on = keyed["doc_id"].eqNullSafe(lists["_d"]) & (keyed["_h"] == lists["_g"])
+    joined = keyed.join(lists, on, "left").drop("_d", "_g", "_h")
     kept = F.expr(
         "transform(sequence(1, size(_cut)), i -> substring(text, "
         "if(i = 1, 0, element_at(_cut, greatest(i - 1, 1)).end) + 1, "
@@ -250,7 +255,7 @@ def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     tail = F.expr("substring(text, element_at(_cut, -1).end + 1)")
     clean = F.concat(F.array_join(kept, mark), F.lit(mark), tail)
     out = joined.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(clean))
-    return out.drop("_cut", "_row")
+    return out.drop("_cut")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
