@@ -14,7 +14,7 @@ from gridspark.llm.common import table
 from gridspark.llm.decontamination import without_contaminated
 from gridspark.llm.jaccard_join import one_of_each
 from gridspark.llm.packing import pack
-from gridspark.llm.quality import KEEP_SCORE, co_train
+from gridspark.llm.quality import KEEP_SCORE, SCORES, co_train
 from gridspark.llm.secrets import redact
 from gridspark.llm.tokens import tokenizer_path
 from gridspark.session import scratch_dir
@@ -23,7 +23,9 @@ from gridspark.session import scratch_dir
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier holds for good."""
     model = co_train(docs, table(spark, sf_dir, "labels"))
-    return model.score(docs).where(F.col("score") >= KEEP_SCORE).select(docs.columns)
+    free = "_".join(["", *docs.columns])  # longer than any column's name
+    scored = model.score(docs, tuple(free + name for name in SCORES))
+    return scored.where(F.col(f"`{free}{SCORES[-1]}`") >= KEEP_SCORE).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

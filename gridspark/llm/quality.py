@@ -35,6 +35,7 @@ BUCKETS = 1 << 17
 KEEP_SCORE = 0.5
 EPOCHS = 10
 SHAPE = 4
+SCORES = ("text_score", "metadata_score", "score")
 
 _BETWEEN = ~byte_class(bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)))
 _MARKS = byte_class(b"#$%&*|<>{}[]=+~^_@\\/")
@@ -133,16 +134,19 @@ class CoTrained:
     metadata: np.ndarray | None = None
     joint: np.ndarray | None = None
 
-    def score(self, documents: DataFrame) -> DataFrame:
-        """``documents`` with text_score, metadata_score and score, the chance of being good."""
+    def score(self, documents: DataFrame, scores: tuple[str, str, str] = SCORES) -> DataFrame:
+        """``documents`` with both views' scores and the joint one, the chance of being good.
+
+        ``scores``: names for them that ``documents`` doesn't have.
+        """
         if self.constant is not None:
             every = F.lit(float(self.constant))
-            return documents.withColumns({"text_score": every, "metadata_score": every, "score": every})
+            return documents.select("*", *[every.alias(name) for name in scores])
         shared = documents.sparkSession.sparkContext.broadcast(self)  # weights of fixed size
         names = documents.columns
-        rows = documents.withColumn("_tags", _tags(documents))
+        rows = documents.select("*", _tags(documents).alias("_".join(["", *names])))  # a name of no column
         schema = documents.select(names).schema
-        for name in ("text_score", "metadata_score", "score"):
+        for name in scores:
             schema = schema.add(name, "double")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +160,7 @@ class CoTrained:
                     joint = m.joint[0] * a + m.joint[1] * b + m.joint[2]
                     yield pa.RecordBatch.from_arrays(
                         [*some.columns[: len(names)], chance(a), chance(b), chance(joint)],
-                        [*names, "text_score", "metadata_score", "score"],
+                        [*names, *scores],
                     )
 
         return rows.mapInArrow(run, schema)
@@ -195,7 +199,7 @@ def co_train(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> C
     # At most LABELLED_ROWS + POOL_ROWS rows of 16 bytes.
     wanted = F.broadcast(materialize(labelled.unionByName(pool), "quality-sample"))
     fold = F.pmod(F.shiftright(_hash("doc_id"), 20), F.lit(5)).cast("int")
-    sample = documents.withColumn("tags", _tags(documents)).join(wanted, "doc_id").select(
+    sample = documents.select("doc_id", "text", _tags(documents).alias("tags")).join(wanted, "doc_id").select(
         F.col("doc_id").cast("long").alias("doc_id"), "y", fold.alias("fold"), "tags", F.col("text").cast("string").alias("text")
     )
     # A document repeated under one id counts once.

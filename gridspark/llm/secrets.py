@@ -230,8 +230,8 @@ def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``documents`` with every secret replaced by ``mark`` (spans that touch become one)."""
     # Rows of one id and one text have the same secrets, so these two are the key to join on.
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = documents.withColumn("_h", F.xxhash64(text))
-    found = scan(keyed.select("doc_id", "_h", "text"), ["doc_id", "_h"])
+    key = F.xxhash64(text)
+    found = scan(documents.select("doc_id", key.alias("_h"), "text"), ["doc_id", "_h"])
     spans = secret_spans(found).select(F.col("_row").alias("_key"), "start", "end")
     earlier = Window.partitionBy("_key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.max("end").over(earlier)
@@ -245,17 +245,17 @@ def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     rows = found.select(F.col("_row").alias("_key"), F.col("doc_id").alias("_d"), F.col("_h").alias("_g"))
     lists = materialize(rows.join(lists, "_key").drop("_key").dropDuplicates(["_d", "_g"]), "secret-cuts")
     release(found)
-    on = keyed["doc_id"].eqNullSafe(lists["_d"]) & (keyed["_h"] == lists["_g"])
-    joined = keyed.join(lists, on, "left").drop("_d", "_g", "_h")
+    cut = "_".join(["", *documents.columns])  # longer than any column's name
+    lists = lists.withColumnRenamed("_cut", cut)
+    on = documents["doc_id"].eqNullSafe(lists["_d"]) & (key == lists["_g"])
+    joined = documents.join(lists, on, "left")
+    end = f"if(i = 1, 0, element_at(`{cut}`, greatest(i - 1, 1)).end)"
     kept = F.expr(
-        "transform(sequence(1, size(_cut)), i -> substring(text, "
-        "if(i = 1, 0, element_at(_cut, greatest(i - 1, 1)).end) + 1, "
-        "element_at(_cut, i).start - if(i = 1, 0, element_at(_cut, greatest(i - 1, 1)).end)))"
+        f"transform(sequence(1, size(`{cut}`)), i -> substring(text, {end} + 1, element_at(`{cut}`, i).start - {end}))"
     )
-    tail = F.expr("substring(text, element_at(_cut, -1).end + 1)")
-    clean = F.concat(F.array_join(kept, mark), F.lit(mark), tail)
-    out = joined.withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(clean))
-    return out.drop("_cut")
+    tail = F.expr(f"substring(text, element_at(`{cut}`, -1).end + 1)")
+    clean = F.when(lists[cut].isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, mark), F.lit(mark), tail))
+    return joined.select(*[clean.alias(c) if c == "text" else documents[c] for c in documents.columns])
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
