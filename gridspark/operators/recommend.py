@@ -303,7 +303,7 @@ def investment_ranking(
         level.alias("risk_level"),
         n.alias("nearby_outages"),
         h.alias("nearby_hours"),
-        F.round(score, 3).alias("composite_score"),
+        score.alias("composite_score"),
     ).orderBy(F.col("composite_score").desc(), "site_name")
 
 

@@ -76,8 +76,8 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-# Means of whole minutes often end exactly half-way at six digits; these are compared finer.
-_FINE = {"avg_duration", "history_avg_duration"}
+# Means and scores of whole minutes often end exactly half-way at few digits; these are compared finer.
+_FINE = {"avg_duration", "history_avg_duration", "composite_score"}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -159,7 +159,7 @@ piece(
 FROM site_stats s JOIN (SELECT {_SITE}, arg_min(risk_level, (round(d, 9), lat, lon)) AS risk_level
   FROM cell_pairs GROUP BY 1) c ON s.{_SITE} = c.{_SITE}""",
 )
-_RANKING = "site_name, category, lat, lon, risk_level, nearby_outages, round(nearby_hours, 5) AS nearby_hours, round(score, 3) AS composite_score"
+_RANKING = "site_name, category, lat, lon, risk_level, nearby_outages, round(nearby_hours, 5) AS nearby_hours, round(score, 9) AS composite_score"
 
 
 @query("h5_investment_ranking", with_("ranking", f"SELECT {_RANKING} FROM ranking"))
@@ -236,7 +236,7 @@ def h7c(d: Domain):
     "h7_top_investments",
     with_(
         "ranking",
-        f"SELECT {_RANKING} FROM ranking ORDER BY round(score, 3) DESC, site_name LIMIT 5",
+        f"SELECT {_RANKING} FROM ranking ORDER BY score DESC, site_name LIMIT 5",
     ),
 )
 def h7d(d: Domain):
