@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,6 +38,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, name: str | int, rows: int = 2048, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``rows`` rows and ``size`` bytes of text in column ``name`` (or one row)."""
+    _, offsets = text_bytes(batch.column(name))
+    at = 0
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
+        to = max(at + 1, min(fits, at + rows, batch.num_rows))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridspark.llm.common import byte_class, table, text_bytes, word_hashes
+from gridspark.llm.common import byte_class, slices, table, text_bytes, word_hashes
 from gridspark.session import materialize
 
 LABELLED_ROWS = 12_000
@@ -153,8 +153,7 @@ class CoTrained:
             m = shared.value
             chance = lambda z: pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))
             for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    some = batch.slice(at, 2048)
+                for some in slices(batch, names.index("text")):
                     a = Sparse(*text_features(some.column(names.index("text")).cast(pa.string()))).margins(m.text)
                     b = _tag_rows(some.column(len(names))).margins(m.metadata)
                     joint = m.joint[0] * a + m.joint[1] * b + m.joint[2]
@@ -173,12 +172,12 @@ def _tag_rows(column: pa.Array) -> Sparse:
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        buckets, begin, shape = text_features(batch.column("text"))
+    for some in (part for batch in batches for part in slices(batch, "text")):
+        buckets, begin, shape = text_features(some.column("text"))
         lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(buckets.astype(np.int32)))
         dense = pa.ListArray.from_arrays(pa.array(np.arange(len(shape) + 1, dtype=np.int32) * SHAPE), pa.array(shape.ravel()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("y"), batch.column("fold"), batch.column("tags"), lists, dense],
+            [some.column("doc_id"), some.column("y"), some.column("fold"), some.column("tags"), lists, dense],
             ["doc_id", "y", "fold", "tags", "buckets", "shape"],
         )
 
