@@ -133,6 +133,22 @@ def test_quality_accuracy(spark, odd, sf_dir):
     assert np.mean([r.keep == good[r.doc_id] for r in rows]) > 0.8
 
 
+def test_slices_hold_every_row_within_bounds():
+    from gridspark.llm.common import slices
+
+    texts = ["a" * 5, None, "b" * 20, "", "c", "é" * 3]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    cut = lambda b, rows, size: [part.column("text").to_pylist() for part in slices(b, "text", rows, size)]
+    for rows in (1, 2, 4, 9):
+        for size in (1, 6, 9, 100):
+            parts = cut(batch, rows, size)
+            assert [t for part in parts for t in part] == texts
+            held = [(len(part), sum(len((t or "").encode()) for t in part)) for part in parts]
+            assert all(n == 1 or n <= rows and b <= size for n, b in held)
+    assert cut(batch.slice(0, 0), 4, 9) == []
+    assert cut(batch.slice(2), 4, 9) == [[texts[2]], texts[3:]]
+
+
 def test_warc_odd(spark, odd):
     rows = QUERIES["op6_warc_revisits"](spark, odd).collect()
     assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in rows) == [
