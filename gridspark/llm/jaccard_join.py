@@ -33,9 +33,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridspark.llm.common import bit_filter, in_filter, mix, shingle_hashes, table, text_bytes, word_hashes
+from gridspark.llm.common import bit_filter, in_filter, mix, shingle_hashes, slices, table, text_bytes, word_hashes
 from gridspark.session import materialize, release
 
 SHINGLE = 5
@@ -43,6 +44,7 @@ FREQUENT = 16  # documents per shingle above which it counts as frequent
 COUNTED = 0.35  # share of the hash range that is counted
 LARGEST_LIGHT = 12
 BLOCK = 512
+SLICE_BYTES = 1 << 21  # of text in one step of a task, or one text
 
 _LIMIT = np.uint64(int(COUNTED * 2**64))
 
@@ -68,14 +70,22 @@ def set_keys(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     return keys.view(np.int64), sets
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], text: str, rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        yield from slices(batch, text, rows, SLICE_BYTES)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], *texts: str, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Parts of batches, bounded by rows and by the bytes of every column of ``texts``."""
+    for batch in batches:
+        parts = (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+        for name in texts:
+            parts = _parts(parts, name, rows)
+        yield from parts
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
+    for batch in _slices(batches, "text"):
         keys, sets = set_keys(batch.column("text"))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(keys), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "node", "n"]
@@ -84,7 +94,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _small_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every set's shingles in the counted part of the hash range."""
-    for batch in _slices(batches):
+    for batch in _slices(batches, "text"):
         _, sets = set_keys(batch.column("text"))
         flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array(flat[flat < _LIMIT].view(np.int64))], ["h"])
@@ -99,7 +109,7 @@ def _postings(bits: bytes, light: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent_bits = np.frombuffer(bits, np.uint8)
         smallest = -(-3 * (light + 1) // 4)  # a smaller set can't link with a heavy one
-        for batch in _slices(batches):
+        for batch in _slices(batches, "text"):
             keys, sets = set_keys(batch.column("text"))
             parts = []
             for key, s in zip(keys.tolist(), sets):
@@ -129,7 +139,7 @@ def _subsets(light: int):
     """Subsets of light sets under which linked light sets meet: (subset hash, node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in _slices(batches, "text"):
             keys, sets = set_keys(batch.column("text"))
             out, nodes = [], []
             for key, s in zip(keys.tolist(), sets):
@@ -168,20 +178,26 @@ def light_boundary(sizes: dict[int, int], largest: int = LARGEST_LIGHT) -> int:
 
 def _list_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of every short list with the places of the shared shingle in both."""
-    for batch in _slices(batches, 8192):
-        out = []
-        for members in batch.column("members"):
-            m = members.as_py()
-            rows = sorted({(x["node"], x["n"], x["place"]) for x in m})
-            for i, (a, na, pa_) in enumerate(rows):
-                for b, nb, pb in rows[i + 1 :]:
-                    if a != b and 4 * min(na, nb) >= 3 * max(na, nb):
-                        out.append((a, b, na, nb, pa_, pb))
-        if out:
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in cols], ["a", "b", "na", "nb", "pa", "pb"]
-            )
+    for batch in _slices(batches, rows=2048):
+        members = batch.column("members")
+        rows = members.flatten()
+        owner = np.repeat(np.arange(len(members)), pc.list_value_length(members).to_numpy())
+        node, n, place = (rows.field(name).to_numpy() for name in ("node", "n", "place"))
+        # One row per node and list, in order of nodes; copies of a text are listed again.
+        order = np.lexsort((node, owner))
+        owner, node, n, place = owner[order], node[order], n[order].astype(np.int64), place[order].astype(np.int64)
+        first = np.ones(len(node), bool)
+        first[1:] = (owner[1:] != owner[:-1]) | (node[1:] != node[:-1])
+        owner, node, n, place = owner[first], node[first], n[first], place[first]
+        after = np.searchsorted(owner, owner, "right") - np.arange(len(owner)) - 1
+        left = np.repeat(np.arange(len(owner)), after)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
+        near = 4 * np.minimum(n[left], n[right]) >= 3 * np.maximum(n[left], n[right])
+        left, right = left[near], right[near]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (node[left], node[right], n[left], n[right], place[left], place[right])],
+            ["a", "b", "na", "nb", "pa", "pb"],
+        )
 
 
 def _short_list_candidates(postings: DataFrame) -> DataFrame:
@@ -217,10 +233,16 @@ def _texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text string").join(wanted, "doc_id").select("node", "text")
 
 
+def _sets_of(batch: pa.RecordBatch, node: str, text: str) -> list[np.ndarray]:
+    """Every row's set; the text of a node that several rows hold is read once."""
+    _, at, back = np.unique(batch.column(node).to_numpy(), return_index=True, return_inverse=True)
+    _, sets = set_keys(batch.column(text).take(pa.array(at)))
+    return [sets[k] for k in back.tolist()]
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches, 512):
-        _, left = set_keys(batch.column("ta"))
-        _, right = set_keys(batch.column("tb"))
+    for batch in _slices(batches, "ta", "tb", rows=512):
+        left, right = _sets_of(batch, "a", "ta"), _sets_of(batch, "b", "tb")
         linked = []
         for x, y in zip(left, right):
             both = len(np.intersect1d(x, y, assume_unique=True))
