@@ -53,16 +53,19 @@ def next_mark(stored: DataFrame, batch: DataFrame) -> Column:
 def upsert(
     stored: DataFrame, batch: DataFrame, order: str, key: str = "incident_reference_number"
 ) -> DataFrame:
-    """Stored rows replaced by the batch where keys meet; within a side the last row wins.
+    """Stored rows replaced by the batch where keys meet; within the batch the last row wins.
 
-    Without the key column on both sides this is a plain union.
+    ``stored`` holds one row per key, as every load leaves it (a first load goes through
+    ``keep_first``); its rows are not ranked again. Without the key column on both sides this is
+    a plain union.
     """
-    old, new = stored.withColumn("_batch", F.lit(0)), batch.withColumn("_batch", F.lit(1))
-    both = old.unionByName(new, allowMissingColumns=True)
     if key not in stored.columns or key not in batch.columns:
-        return both.drop("_batch")
-    latest = [F.col("_batch").desc(), F.col(order).desc()]
-    return keep_first(both, [key], latest).drop("_batch")
+        return stored.unionByName(batch, allowMissingColumns=True)
+    newest = keep_first(batch, [key], [F.col(order).desc()])
+    # AQE broadcasts the batch's keys once it has measured them: the stored rows need not move
+    keys = newest.select(F.col(key).alias("_key")).distinct()
+    kept = stored.join(keys, stored[key].eqNullSafe(keys["_key"]), "left_anti")
+    return kept.unionByName(newest, allowMissingColumns=True)
 
 
 # --- live incidents ----------------------------------------------------------------------------
