@@ -26,8 +26,13 @@ def exact_quantiles(df: DataFrame, value: Column, probs: list[float], by: list[s
         base.where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     )
     cuts = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
-    edges = counts.groupBy(*keys).agg(F.percentile_approx("_v", cuts, F.lit(1000)).alias("_edges"))
-    binned = counts.join(edges, keys).select(
+    approximate = F.percentile_approx("_v", cuts, F.lit(1000)).alias("_edges")
+    if by:
+        edged = counts.join(counts.groupBy(*keys).agg(approximate), keys)
+    else:
+        # One row of edges: a scalar subquery, as a join without a key would compare all with all.
+        edged = counts.withColumn("_edges", counts.agg(approximate).scalar())
+    binned = edged.select(
         *keys,
         "_v",
         "_n",

@@ -446,13 +446,16 @@ def g5c(d: Domain):
 
 @query(
     "g6_feature_importance",
-    "\nUNION ALL ".join(f"SELECT '{f}' AS feature, TRUE AS in_range" for f in grid.FEATURES),
+    "\nUNION ALL ".join(f"SELECT '{f}' AS feature, TRUE AS in_range, TRUE AS sums_to_one" for f in grid.FEATURES),
 )
 def g6(d: Domain):
     features = materialize(grid.label_by_count(grid.grid_features(d.outages)), "features")
     model = ml.train(features, ml.FOREST, _FOREST_SCALE, _DEPTH)
     table = ml.feature_importance(d.spark, model)
-    return table.select("feature", F.col("importance").between(0.0, 1.0).alias("in_range"))
+    whole = table.agg(F.abs(F.sum("importance") - 1.0) < 1e-6).scalar()
+    return table.select(
+        "feature", F.col("importance").between(0.0, 1.0).alias("in_range"), whole.alias("sums_to_one")
+    )
 
 
 def _in_range(rounds, *keys):
