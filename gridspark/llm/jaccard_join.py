@@ -4,8 +4,10 @@ Two sets link when ``100 * |A & B| >= 75 * |A | B|``, that is when they share at
 ``c = ceil(3 (|A| + |B|) / 7)`` shingles. Documents with equal sets are one node from the start.
 
 * Light sets (size up to a boundary): all subsets of the sizes ``c`` that their partners' sizes ask for
-  are enumerated; sets with a common subset, marked with both sizes, link. The boundary is where
-  enumeration starts to cost more than scanning, from the histogram of sizes.
+  are enumerated and marked with both sizes. A set of the smaller size links with all that share the
+  subset, so the first such set is compared with each of them; where only sets of the larger size meet,
+  nothing follows, as their own mark asks for more. The boundary is where enumeration starts to cost
+  more than scanning, from the histogram of sizes.
 * Heavy sets, and light ones near enough in size to link with them: an inverted list per shingle. A
   set is listed under its first ``|A| - ceil(3 |A| / 4) + 1`` shingles in one global order, which no
   linked pair can miss. Frequent shingles come last in the order: shingles with small hashes are
@@ -136,12 +138,12 @@ def _postings(bits: bytes, light: int):
 
 
 def _subsets(light: int):
-    """Subsets of light sets under which linked light sets meet: (subset hash, node)."""
+    """Subsets of light sets under which linked light sets meet: (subset hash, node, has the smaller size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, "text"):
             keys, sets = set_keys(batch.column("text"))
-            out, nodes = [], []
+            out, nodes, smaller = [], [], []
             for key, s in zip(keys.tolist(), sets):
                 n = len(s)
                 if not 0 < n <= light:
@@ -156,10 +158,10 @@ def _subsets(light: int):
                         h = mix(mix(chosen).sum(1, dtype=np.uint64) + mark * np.uint64(0x9E3779B97F4A7C15))
                     out.append(h)
                     nodes.append(np.full(len(h), key))
+                    smaller.append(np.full(len(h), n <= other))
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(nodes))], ["h", "node"]
-                )
+                h, key, low = (np.concatenate(x) for x in (out, nodes, smaller))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(key), pa.array(low)], ["h", "node", "low"])
 
     return run
 
@@ -352,10 +354,14 @@ def linked_nodes(documents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
     bits = bit_filter(materialize(counted.where(F.col("k") > FREQUENT).select("h"), "join-frequent"), "h")
     postings = materialize(texts_in.mapInArrow(_postings(bits, light), _LISTED), "join-postings")
 
-    subsets = texts_in.mapInArrow(_subsets(light), "h long, node long")
-    hubs = subsets.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("z"))
-    hubs = materialize(hubs.where("a <> z").select("h", "a"), "join-subset-hubs")
-    by_subset = subsets.join(hubs, "h").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    subsets = texts_in.mapInArrow(_subsets(light), "h long, node long, low boolean")
+    hubs = subsets.groupBy("h").agg(
+        F.min(F.when(F.col("low"), F.col("node"))).alias("hub"), F.min("node").alias("a"), F.max("node").alias("z")
+    )
+    hubs = materialize(hubs.where("hub IS NOT NULL AND a <> z").select("h", "hub"), "join-subset-hubs")
+    by_subset = subsets.join(hubs, "h").where("hub <> node").select(
+        F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")
+    )
 
     long_lists = postings.where("NOT short").select("h", "node", "n").distinct()
     several = long_lists.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
@@ -365,10 +371,10 @@ def linked_nodes(documents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
         F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")
     )
     short = _short_list_candidates(postings)
-    pairs = materialize(short.unionByName(by_hub).distinct(), "join-pairs")
+    pairs = materialize(short.unionByName(by_hub).unionByName(by_subset).distinct(), "join-pairs")
     release(postings, several)
 
-    # One text per node that has a list mate.
+    # One text per node that has a list or subset mate.
     mates = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     mates = mates.unionByName(members.select("node")).distinct()
     wanted = materialize(
@@ -377,7 +383,7 @@ def linked_nodes(documents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
     texts = materialize(_texts_of(documents, wanted).dropDuplicates(["node"]), "join-texts")
 
     tested = materialize(verified(pairs, texts), "join-tested")
-    edges = materialize(tested.where("linked").select("a", "b").unionByName(by_subset), "join-links")
+    edges = materialize(tested.where("linked").select("a", "b"), "join-links")
     labels = components(edges)
     rest = _apart(members, labels)
     if rest.limit(1).count():

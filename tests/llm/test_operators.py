@@ -248,6 +248,39 @@ def test_jaccard_large_group(spark):
     assert {r.doc_id: r.component_id for r in rows} == {d: root(d) for d in range(len(docs))}
 
 
+def test_jaccard_light_sets(spark):
+    """Texts of 6 to 17 words that differ in end words, against brute force: sets of the larger size of a mark don't link."""
+    from gridspark.llm.jaccard_join import jaccard_components
+
+    docs = []
+    for n in range(6, 18):
+        base = [f"b{n}x{i}" for i in range(n)]
+        for end in ("p", "q", "r"):
+            docs += [(len(docs), " ".join([*base[:-1], end])), (len(docs) + 1, " ".join([end, *base[1:]]))]
+        if n % 3 == 0:
+            docs += [(len(docs), " ".join(base)), (len(docs) + 1, " ".join([*base, "s"])), (len(docs) + 2, " ".join(base[1:]))]
+    component = _components(docs)
+    rows = jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == component
+    short = [d for d, t in docs if len(t.split()) in (8, 10)]
+    assert len({component[d] for d in short}) > len(short) / 2
+
+
+def _components(docs):
+    """The smallest id linked with each, by comparing all pairs."""
+    sets = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d, w in ((d, t.split()) for d, t in docs)}
+    label = {d: d for d in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                both = len(sets[a] & sets[b])
+                if label[a] < label[b] and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                    label[b], changed = label[a], True
+    return label
+
+
 def test_pipeline(spark, odd, nothing, sf_dir):
     import corpus_pipeline
 
