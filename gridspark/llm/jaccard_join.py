@@ -222,17 +222,26 @@ def _short_list_candidates(postings: DataFrame) -> DataFrame:
 
 
 def _texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts of candidate documents only: a fixed-size filter at the scan, then an exact join."""
-    bits = bit_filter(wanted, "doc_id")
+    """A text of every wanted node (doc_id, node): fixed-size filters at the scan, then an exact join.
+
+    Several rows may have one id or none, so a row counts only if its own set is the node's.
+    """
+    id_bits, node_bits = bit_filter(wanted.where("doc_id IS NOT NULL"), "doc_id"), bit_filter(wanted, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_of_bits = np.frombuffer(bits, np.uint8)
+        ids, nodes = np.frombuffer(id_bits, np.uint8), np.frombuffer(node_bits, np.uint8)
         for batch in batches:
-            keep = in_filter(table_of_bits, batch.column("doc_id").to_numpy())
-            yield batch.filter(pa.array(keep))
+            doc_id = batch.column("doc_id")
+            keep = in_filter(ids, pc.fill_null(doc_id, 0).to_numpy()) | doc_id.is_null().to_numpy(zero_copy_only=False)
+            for part in _slices([batch.filter(pa.array(keep))], "text"):
+                keys, _ = set_keys(part.column("text"))
+                part = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys), part.column("text")], ["_id", "_node", "text"])
+                yield part.filter(pa.array(in_filter(nodes, keys)))
 
-    rows = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    return rows.mapInArrow(run, "doc_id long, text string").join(wanted, "doc_id").select("node", "text")
+    rows = documents.where("text IS NOT NULL").select("doc_id", "text")
+    rows = rows.mapInArrow(run, "_id long, _node long, text string")
+    on = (rows["_node"] == wanted["node"]) & rows["_id"].eqNullSafe(wanted["doc_id"])
+    return rows.join(wanted, on).select("node", "text")
 
 
 def _sets_of(batch: pa.RecordBatch, node: str, text: str) -> list[np.ndarray]:
@@ -378,7 +387,7 @@ def linked_nodes(documents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
     mates = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     mates = mates.unionByName(members.select("node")).distinct()
     wanted = materialize(
-        nodes.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(mates, "node"), "join-wanted"
+        nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(mates, "node"), "join-wanted"
     )
     texts = materialize(_texts_of(documents, wanted).dropDuplicates(["node"]), "join-texts")
 

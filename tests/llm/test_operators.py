@@ -266,6 +266,25 @@ def test_jaccard_light_sets(spark):
     assert len({component[d] for d in short}) > len(short) / 2
 
 
+def test_jaccard_repeated_and_null_ids(spark):
+    """Texts listed under frequent and rare shingles whose rows share an id, or have none, still link."""
+    from gridspark.llm.jaccard_join import jaccard_components
+
+    text = lambda k, n=40: " ".join(f"t{k}w{i}" for i in range(n))
+    docs = []
+    for k in range(8):
+        # Pairs of near copies: both rows of an id belong to different pairs.
+        docs += [(k, text(k)), (100 + k, text(k) + " more"), (k, text(50 + k)), (200 + k, text(50 + k) + " more")]
+    docs += [(None, text(90)), (None, text(90) + " more"), (300, text(90) + " more words"), (None, text(91)), (None, text(92))]
+    rows = jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    found = defaultdict(list)
+    for r in rows:
+        found[r.doc_id].append(r.component_id)
+    for k in range(8):
+        assert found[k] == [k, k] and found[100 + k] == found[200 + k] == [k]
+    assert found[300] == [300] and sorted(found[None], key=str) == [300, 300, None, None]
+
+
 def _components(docs):
     """The smallest id linked with each, by comparing all pairs."""
     sets = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d, w in ((d, t.split()) for d, t in docs)}
