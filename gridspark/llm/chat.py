@@ -69,8 +69,9 @@ def _links(messages: DataFrame) -> DataFrame:
 
 
 def _climb(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Total score of every node's path to its root, and the ancestors 1, 2, 4, ... steps up."""
-    state = links.select("key", "node", F.col("parent").alias("up"), F.col("score").alias("total"))
+    """Root and total score of every node's path to it, and the ancestors 1, 2, 4, ... steps up."""
+    # With nothing further up, root is the path's root.
+    state = links.select("key", "node", F.col("parent").alias("up"), F.col("node").alias("root"), F.col("score").alias("total"))
     jumps, limit = [], 0
     while True:
         active = state.where("up IS NOT NULL")
@@ -80,12 +81,14 @@ def _climb(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         if n == 0 or len(jumps) >= limit:
             break
         jumps.append(active.select("key", "node", "up"))
-        above = state.select("key", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"))
+        above = state.select(
+            "key", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("total").alias("total2")
+        )
         moved = active.join(above, ["key", "up"]).select(
-            "key", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total")
+            "key", "node", F.col("up2").alias("up"), F.col("root2").alias("root"), (F.col("total") + F.col("total2")).alias("total")
         )
         state = materialize(state.where("up IS NULL").unionByName(moved), "chat-climb")
-    return state.where("up IS NULL").select("key", "node", "total"), jumps
+    return state.where("up IS NULL").select("key", "node", "root", "total"), jumps
 
 
 def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -98,8 +101,7 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     totals, jumps = _climb(links)
     inner = links.where("parent IS NOT NULL").select("key", F.col("parent").alias("node")).distinct()
     leaves = totals.join(inner, ["key", "node"], "left_anti")
-    # The root of every leaf, by the same descent that later lists its ancestors.
-    order = Window.partitionBy("key").orderBy(F.col("total").desc(), "node")
+    order = Window.partitionBy("key", "root").orderBy(F.col("total").desc(), "node")
     chosen = leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= branches)
     path = chosen.select("key", F.col("node").alias("leaf"), "branch", "total", "node", F.lit(0).cast("long").alias("above"))
     for k in reversed(range(len(jumps))):

@@ -92,6 +92,18 @@ def test_chat_branches(spark):
     assert {r.leaf: r.branch for r in paths.collect()} == {4: 1, 2: 2}
 
 
+def test_chat_roots_of_one_tree(spark):
+    """Every root of a tree has its own best branches; null trees share a key, not a root."""
+    from gridspark.llm.chat import best_paths
+
+    tree = [(1, 1, None, 0.0), (1, 2, 1, 1.0), (1, 3, 1, 2.0), (1, 5, 99, 0.0), (1, 6, 5, 0.5), (1, 7, 6, 0.1), (1, 8, 6, 0.2),
+            (None, 1, None, 0.0), (None, 2, None, 3.0)]
+    m = spark.createDataFrame([(t, n, p, "user", "x", s) for t, n, p, s in tree], "tree long, node long, parent long, role string, text string, score double")
+    paths = best_paths(m).collect()
+    assert {(r.tree, r.leaf): r.branch for r in paths} == {(1, 3): 1, (1, 8): 1, (None, 1): 1, (None, 2): 1}
+    assert sorted(r.position for r in paths if (r.tree, r.leaf) == (1, 8)) == [0, 1, 2]
+
+
 def test_language_odd_and_held_out(spark, odd, sf_dir):
     import duckdb
 
