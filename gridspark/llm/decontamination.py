@@ -41,7 +41,7 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, begin = shingle_hashes(words, first, MIN_MATCH)
         long_enough = np.diff(first) >= MIN_MATCH
         rows = [
-            {"item_id": i, "words": words[first[k] : first[k + 1]].view(np.int64), "seeds": np.unique(seeds[begin[k] : begin[k + 1]]).view(np.int64)}
+            {"item_id": i, "words": words[first[k] : first[k + 1]].view(np.int64), "seeds": seeds[begin[k] : begin[k + 1]].view(np.int64)}
             for k, i in enumerate(batch.column("item_id").to_pylist())
             if long_enough[k]
         ]
@@ -186,7 +186,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
     items = materialize(
         items.mapInArrow(_item_words, "item_id long, words array<long>, seeds array<long>"), "tiling-items"
     )
+    # An item's phrase may occur several times in it, and one in the document can cover them all in turn.
     seeds = items.select("item_id", F.size("words").alias("n"), F.explode("seeds").alias("seed"))
+    seeds = seeds.groupBy("item_id", "n", "seed").agg(F.count(F.lit(1)).alias("times"))
     bits = bit_filter(seeds, "seed")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
@@ -197,7 +199,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = C
         kept.select("doc_id", "h", F.explode("seeds").alias("seed"))
         .join(seeds, "seed")
         .groupBy("doc_id", "h", "item_id")
-        .agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
+        .agg(F.sum("times").alias("shared"), F.first("n").alias("n"))
         .where(F.col("shared") * MIN_MATCH >= F.col("n") * coverage)
         .select("doc_id", "h", "item_id")
     )

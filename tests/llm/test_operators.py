@@ -131,6 +131,16 @@ def test_decontamination_odd(spark, odd):
     assert {(r.doc_id, r.item_id, r.coverage) for r in rows} == {(d, 1, 1.0) for d in (4, 5, 6, 10)}
 
 
+def test_decontamination_of_a_repeated_phrase(spark):
+    """An item of one phrase again and again has few different seeds; its copy is covered whole."""
+    from gridspark.llm.decontamination import contaminated
+
+    item = " ".join(["red", "green", "blue"] * 20)
+    docs = spark.createDataFrame([(1, f"before it {item} after it"), (2, "red green blue red green blue red"), (3, "red green")], "doc_id long, text string")
+    rows = contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.coverage) for r in rows] == [(1, 7, 1.0)]
+
+
 def test_top_k_odd(spark, odd):
     got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in QUERIES["op4_exact_top_k"](spark, odd).collect()}
     assert got == {(0, 1, 1, 64 * 16 - 32 * 64), (0, 2, 20, 64 * 16 - 32 * 64), (20, 1, 1, 16 * 16 + 64 * 64), (20, 2, 0, 64 * 16 - 32 * 64)}
