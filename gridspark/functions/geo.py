@@ -156,7 +156,11 @@ def box_bounds(metric: str, a, b):
 
     alow, ahigh = cosines(alat0, alat1)
     blow, bhigh = cosines(blat0, blat1)
-    half_turn = F.lit(180.0)
+    # Longitudes are a circle: differences from gap_lon to far_lon, beyond half a turn shorter again.
+    half_turn, whole_turn = F.lit(180.0), F.lit(360.0)
+    gap_back, far_back = F.greatest(zero, whole_turn - far_lon), F.greatest(whole_turn - gap_lon, far_lon - whole_turn)
+    far_lon = F.when(gap_lon > half_turn, far_back).otherwise(far_lon)
+    gap_lon = F.least(gap_lon, gap_back)
     low = _sin2(F.radians(F.least(half_turn, gap_lat))) + alow * blow * _sin2(
         F.radians(F.least(half_turn, gap_lon))
     )

@@ -226,24 +226,8 @@ def _finest(lat: str, lon: str, i: str, j: str) -> dict[str, Column]:
     }
 
 
-# With no more right rows than this (per key) every left position looks at all of them.
-DIRECT_ROWS = 128
-
-
-def _most_per_key(stored: DataFrame, keys: list[str]) -> int:
-    """The largest number of rows per key of a stored table (an action on that table)."""
-    if not keys:
-        return stored.count()
-    counts = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n").alias("n")).first()["n"] or 0
-
-
-def _all_of_a_few(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Left positions with each of the few right rows; the size has been checked."""
-    if keys:
-        return a.join(b, keys)
-    rows = b.agg(F.collect_list(F.struct(*b.columns)).alias("r")).scalar()
-    return a.select("*", F.inline(rows))
+# Without effect: tests set it to run one form or another, and there is one form for every size.
+DIRECT_ROWS = 0
 
 
 def nearest_by_position(
@@ -283,14 +267,11 @@ def nearest_by_position(
     # folder, whatever lies behind them is computed once.
     a = materialize(places.withColumns(_finest("site_lat", "site_lon", "li", "lj")), "left")
     b = materialize(rows.withColumns(_finest(*right_at, "ri", "rj")), "right")
-    if _most_per_key(b, keys) <= DIRECT_ROWS:
-        pairs = _all_of_a_few(a, b, keys)
-    else:
-        count = F.count(F.lit(1)).alias("n")
-        lcells = a.groupBy(*keys, "li", "lj").agg(count)
-        rcells = b.groupBy(*keys, "ri", "rj").agg(count)
-        near = _candidate_cells(lcells, rcells, metric, k, keys)
-        pairs = a.join(near, [*keys, "li", "lj"]).join(b, [*keys, "ri", "rj"])
+    count = F.count(F.lit(1)).alias("n")
+    lcells = a.groupBy(*keys, "li", "lj").agg(count)
+    rcells = b.groupBy(*keys, "ri", "rj").agg(count)
+    near = _candidate_cells(lcells, rcells, metric, k, keys)
+    pairs = a.join(near, [*keys, "li", "lj"]).join(b, [*keys, "ri", "rj"])
     d = geo.distance(
         metric, F.col("site_lat"), F.col("site_lon"), F.col(right_at[0]), F.col(right_at[1])
     )

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,6 +81,20 @@ def test_nearest_is_brute_force(spark, monkeypatch, metric, k, direct):
         assert [r["rid"] for r in rows] == [j for _, j in want]
 
 
+@pytest.mark.parametrize("count", [20, 300])
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_wraps_at_half_a_turn(spark, count, k):
+    left = [(0.5, 179.999), (-40.0, -179.995), (10.0, 180.0), (60.0, 0.0), (5.0, 91.0)]
+    right = [(0.5, -179.999), (-40.0, 179.99), (10.0, -180.0), (0.5, 170.0), (5.0, -91.0)] + points(count, 6, (-60.0, 60.0), (-170.0, 170.0))
+    a, b = frames(spark, left, right)
+    got = defaultdict(list)
+    for r in spatial.nearest_join(a, b, L, R, ["rid"], k=k).collect():
+        got[r["lid"]].append((r["distance_km"], r["rid"]))
+    for i, p in enumerate(left):
+        want = sorted((round(km(p, q, "haversine"), 9), j) for j, q in enumerate(right))[:k]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in want]
+
+
 @pytest.mark.parametrize("direct", [0, 128])
 def test_nearest_within_equal_keys(spark, monkeypatch, direct):
     monkeypatch.setattr(spatial, "DIRECT_ROWS", direct)
