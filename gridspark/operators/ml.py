@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridspark.functions.coerce import percent, ratio
 from gridspark.operators.grid import FEATURES, RISK_LEVELS
+from gridspark.session import materialize
 
 SEED = 42
 
@@ -259,85 +260,184 @@ def tune_thresholds(preds: DataFrame, values=(0.2, 0.3, 0.4, 0.5)) -> DataFrame:
 BLOCK_ROWS = 2000
 
 
-def _grower(level: str, each: int, share: float, k: int, seed: int):
-    """Per-block function making ``each`` (or, with chance ``share``, one more) points per sample."""
-    names = list(FEATURES)
+_BY_POINT = ["risk_level", "x"]
+_BLOCK = ["risk_level", "_block", "_deal"]
+_NEAR = "near array<struct<d: double, y: array<double>, m: bigint>>"
+
+
+def _vectors(table, name: str):
+    return table.column(name).combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+
 
-    def grow(pdf):
+def _closest(points, others, copies, k: int, own: bool):
+    """Per point its ``k`` closest of ``others`` by squared distance, equals in order of features.
+
+    With ``own`` the two are the same rows and no point is its own neighbour.
+    """
+    import numpy as np
+
+    order = np.lexsort(others.T[::-1])
+    place = np.argsort(order)
+    others, copies = others[order], copies[order]
+    out = []
+    for at in range(0, len(points), 256):
+        some = points[at : at + 256]
+        d = np.zeros((len(some), len(others)))
+        for f in range(points.shape[1]):  # one order of addition, whatever the block
+            d += (some[:, f, None] - others[None, :, f]) ** 2
+        if own:
+            d[np.arange(len(some)), place[at : at + len(some)]] = np.inf
+        near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(others) - own)]
+        out += [
+            [{"d": float(d[i, j]), "y": others[j].tolist(), "m": int(copies[j])} for j in row]
+            for i, row in enumerate(near.tolist())
+        ]
+    return out
+
+
+def _within(k: int):
+    """Per block: neighbours inside it, and the distance by which a closer one must lie outside."""
+
+    def run(group):
         import numpy as np
-        import pandas as pd
-
-        # a fixed order makes a repeated task produce the same points
-        x = pdf.sort_values(names)[names].to_numpy(dtype=float)
-        n = len(x)
-        rng = np.random.default_rng([seed, int(pdf["_block"].iloc[0]), int(pdf["_deal"].iloc[0])])
-        copies = np.full(n, each) + (rng.random(n) < share)
-        origin = np.repeat(np.arange(n), copies)
-        if n < 2 or len(origin) == 0:
-            made = x[origin]
-        else:
-            squares = (x * x).sum(axis=1)
-            d = squares[:, None] + squares[None, :] - 2.0 * x @ x.T
-            np.fill_diagonal(d, np.inf)
-            m = min(k, n - 1)
-            near = np.argpartition(d, m - 1, axis=1)[:, :m]
-            other = near[origin, rng.integers(0, m, len(origin))]
-            made = x[origin] + rng.random((len(origin), 1)) * (x[other] - x[origin])
-        return pd.DataFrame(made, columns=names).assign(risk_level=level)
-
-    return grow
+        import pyarrow as pa
+
+        x, copies = _vectors(group, "x"), group.column("m").to_numpy()
+        near = _closest(x, x, copies, k, True)
+        reach = []
+        for i, (found, m) in enumerate(zip(near, copies.tolist())):
+            if m > 1:
+                found.insert(0, {"d": 0.0, "y": x[i].tolist(), "m": m - 1})
+            sums = np.cumsum([e["m"] for e in found])
+            enough = np.flatnonzero(sums >= k)
+            reach.append(found[enough[0]]["d"] ** 0.5 if len(enough) else float("inf"))
+        kind = pa.list_(pa.struct([("d", pa.float64()), ("y", pa.list_(pa.float64())), ("m", pa.int64())]))
+        return group.append_column("near", pa.array(near, kind)).append_column("reach", pa.array(reach, pa.float64()))
+
+    return run
+
+
+def _across(k: int):
+    """Per block: its closest rows to points of other blocks (those with ``asks``)."""
+
+    def run(group):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        asks = group.column("asks")
+        points, rows = group.filter(asks), group.filter(pc.invert(asks))
+        near = _closest(_vectors(points, "x"), _vectors(rows, "x"), rows.column("m").to_numpy(), k, False)
+        kind = pa.list_(pa.struct([("d", pa.float64()), ("y", pa.list_(pa.float64())), ("m", pa.int64())]))
+        return pa.table({"risk_level": points.column("risk_level"), "x": points.column("x"), "near": pa.array(near, kind)})
+
+    return run
+
+
+def _blocked(points: DataFrame, block_rows: int) -> DataFrame:
+    """Points with their place ``p`` on the class's most varied feature, and blocks along it."""
+    names = list(FEATURES)
+    at = [F.col("x")[i] for i in range(len(names))]
+    spread = points.groupBy("risk_level").agg(
+        F.count(F.lit(1)).alias("n"), *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(at)]
+    )
+    parts = []
+    for r in spread.collect():
+        axis = max(range(len(names)), key=lambda i: r[f"s{i}"])
+        rows = points.where(F.col("risk_level") == r["risk_level"]).withColumn("p", at[axis])
+        blocks = -(-r["n"] // block_rows)
+        block = F.lit(0)
+        if blocks > 1:
+            shares = [i / blocks for i in range(1, blocks)]
+            cuts = rows.agg(F.percentile_approx("p", shares, 10_000).alias("c")).scalar()
+            rows = rows.withColumn("_cuts", cuts)
+            block = F.size(F.filter("_cuts", lambda c: c < F.col("p")))
+        parts.append(rows.withColumn("_block", block).drop("_cuts"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    # equal places may overfill a block: it is dealt over several, which ask each other
+    sizes = out.groupBy("risk_level", "_block").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("_parts"))
+    out = out.join(sizes, ["risk_level", "_block"])
+    return out.withColumn("_deal", F.pmod(F.xxhash64("x"), F.col("_parts")).cast("int")).drop("_parts")
+
+
+def nearest_samples(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The vectors of the ``k`` nearest samples of every distinct point (risk_level, x, m copies).
+
+    Exact: a block gives each point a first k-th distance, and every other block that comes within
+    it along one feature (no two points are closer than their difference there) is asked as well.
+    """
+    rows = materialize(_blocked(points, block_rows), "smote-blocks")
+    first = rows.groupBy(*_BLOCK).applyInArrow(
+        _within(k), f"{rows._jdf.schema().toDDL()}, {_NEAR}, reach double"
+    )
+    first = materialize(first, "smote-within")
+    spans = rows.groupBy(*_BLOCK).agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
+    spans = spans.agg(F.collect_list(F.struct(*_BLOCK, "lo", "hi")).alias("s")).scalar()
+    reach = F.col("reach") * (1.0 + 1e-9) + F.abs("p") * 1e-12
+
+    def open_block(s):
+        same = (s["_block"] == F.col("_block")) & (s["_deal"] == F.col("_deal"))
+        close = (s["lo"] <= F.col("p") + reach) & (s["hi"] >= F.col("p") - reach)
+        return (s["risk_level"] == F.col("risk_level")) & ~same & close
+
+    asked = first.withColumn("_s", spans).withColumn("_s", F.explode(F.filter("_s", open_block)))
+    asked = asked.select("risk_level", "x", "m", F.col("_s._block").alias("_block"), F.col("_s._deal").alias("_deal"))
+    asked = materialize(asked, "smote-asked")
+    # no task holds more than about a block of points and a block of rows
+    chunks = asked.groupBy(*_BLOCK).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_n"))
+    asks = asked.join(chunks, _BLOCK).withColumn("_chunk", F.pmod(F.xxhash64("x", F.lit(1)), F.col("_n")).cast("int"))
+    holds = rows.join(chunks, _BLOCK).withColumn("_chunk", F.explode(F.expr("sequence(0, _n - 1)")))
+    cols = [*_BLOCK, "_chunk", "x", "m"]
+    both = asks.select(*cols, F.lit(True).alias("asks")).unionByName(holds.select(*cols, F.lit(False).alias("asks")))
+    second = both.groupBy(*_BLOCK, "_chunk").applyInArrow(_across(k), f"risk_level string, x array<double>, {_NEAR}")
+    found = first.select(*_BY_POINT, "near").unionByName(second).groupBy(*_BY_POINT)
+    found = found.agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    each = F.transform("near", lambda e: F.array_repeat(e["y"], F.least(e["m"], F.lit(k)).cast("int")))
+    return found.select(*_BY_POINT, F.slice(F.flatten(each), 1, k).alias("near"))
 
 
 def smote(
     samples: DataFrame, k: int = 3, seed: int = SEED, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Oversample every minority class to the size of the largest.
+    """Oversample every minority class to the size of the largest, up to a random share of copies.
 
-    New points lie between a sample and one of its ``k`` nearest neighbours of the same class.
-    Neighbours are searched inside blocks of about ``block_rows`` samples that are close along the
-    log of the impact and count features, so no task sees more than one block. A class that fits
-    one block gets its exact neighbours.
+    New points lie between a sample and one of its ``k`` nearest neighbours of the same class
+    (:func:`nearest_samples`); equally near ones rank by their features. The points depend on the
+    samples and the seed only, not on partitions or ``block_rows``. The only sample of a class has
+    no neighbour and is repeated.
     """
     counts = {r["risk_level"]: r["n"] for r in class_distribution(samples).collect()}
     largest = max(counts.values(), default=0)
     need = {c: largest - n for c, n in counts.items() if n < largest}
-    base = samples.select(*FEATURES, "risk_level")
+    doubles = [F.col(c).cast("double").alias(c) for c in FEATURES]
+    base = samples.select(*doubles, "risk_level")
     if not need:
         return base
-    names = list(FEATURES)
-    parts = [base]
-    for level, missing in sorted(need.items()):
-        size = counts[level]
-        if size < 2:
-            continue
-        blocks = max(1, -(-size // block_rows))
-        each, rest = divmod(missing, size)
-        axis = F.col("log_total_customer_hours") + F.log1p("outage_count")
-        rows = base.where(F.col("risk_level") == level)
-        if blocks > 1:
-            cuts = rows.agg(
-                F.percentile_approx(axis, [i / blocks for i in range(1, blocks)], 10_000).alias("c")
-            ).scalar()
-            rows = rows.withColumn("_cuts", cuts).withColumn(
-                "_block", F.size(F.filter("_cuts", lambda c: c < axis))
-            )
-        else:
-            rows = rows.withColumn("_block", F.lit(0))
-        # a dense stretch of the axis may overfill a block: deal it over several
-        sizes = {r["_block"]: r["count"] for r in rows.groupBy("_block").count().collect()}
-        wide = [F.when(F.col("_block") == b, F.lit(-(-n // (2 * block_rows))))
-                for b, n in sizes.items() if n > 2 * block_rows]
-        deal = F.coalesce(*wide, F.lit(1)) if wide else F.lit(1)
-        rows = rows.withColumn("_deal", F.pmod(F.xxhash64(*names), deal).cast("int"))
-        share = rest / size
-
-        schema = ", ".join([*[f"{c} double" for c in names], "risk_level string"])
-        parts.append(rows.groupBy("_block", "_deal").applyInPandas(_grower(level, each, share, k, seed), schema))
-    doubles = [F.col(c).cast("double").alias(c) for c in names]
-    out = parts[0].select(*doubles, "risk_level")
-    for extra in parts[1:]:
-        out = out.unionByName(extra)
-    return out
+    points = base.where(F.col("risk_level").isin(*need)).select(
+        "risk_level", F.array(*[F.col(c) + 0.0 for c in FEATURES]).alias("x")
+    )
+    points = materialize(points.groupBy(*_BY_POINT).agg(F.count(F.lit(1)).alias("m")), "smote-points")
+    near = nearest_samples(points, k, block_rows)
+
+    def chance(*of):
+        return F.pmod(F.xxhash64(F.lit(seed), *of), F.lit(1 << 53)) / float(1 << 53)
+
+    def per_class(values):
+        return F.coalesce(*[F.when(F.col("risk_level") == c, F.lit(v)) for c, v in values.items()])
+
+    each = per_class({c: n // counts[c] for c, n in need.items()})
+    share = per_class({c: n % counts[c] / counts[c] for c, n in need.items()})
+    drawn = points.join(near, _BY_POINT).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("m"))))
+    extra = (chance(F.lit(0), F.col("x"), F.col("_copy")) < share).cast("int")
+    drawn = drawn.withColumn("_times", each + extra).where("_times > 0")
+    drawn = drawn.withColumn("_time", F.explode(F.expr("sequence(1, _times)")))
+    one = [F.col("x"), F.col("_copy"), F.col("_time")]
+    drawn = drawn.withColumns({"_pick": chance(F.lit(1), *one), "_gap": chance(F.lit(2), *one)})
+    other = F.coalesce(F.get("near", F.floor(F.col("_pick") * F.size("near")).cast("int")), F.col("x"))
+    made = F.zip_with("x", "_other", lambda u, v: u + F.col("_gap") * (v - u))
+    made = drawn.withColumn("_other", other).select("risk_level", made.alias("x"))
+    return base.unionByName(made.select(*[F.col("x")[i].alias(c) for i, c in enumerate(FEATURES)], "risk_level"))
 
 
 # --- saving ------------------------------------------------------------------------------------

@@ -78,6 +78,32 @@ def test_smote_fills_the_small_classes(samples, block_rows):
     assert was[0] <= lo and hi <= was[1]
 
 
+@pytest.mark.parametrize("block_rows", [2000, 15])
+def test_smote_neighbours_are_the_nearest(spark, block_rows):
+    """Against all pairs, whatever the block size; repeated samples and equal places included."""
+    rng = random.Random(5)
+    rows = [tuple(float(rng.choice([0, 0, rng.random() * 9])) for _ in grid.FEATURES) for _ in range(120)]
+    rows += rows[:5] * 3
+    schema = "risk_level string, x array<double>"
+    points = spark.createDataFrame([("High", list(r)) for r in rows], schema).groupBy("risk_level", "x").agg(F.count("x").alias("m"))
+    got = {tuple(r["x"]): [tuple(y) for y in r["near"]] for r in ml.nearest_samples(points, 3, block_rows).collect()}
+    assert len(got) == len(set(rows))
+    for x in set(rows):
+        others = list(rows)
+        others.remove(x)
+        want = sorted((sum((a - b) ** 2 for a, b in zip(x, y)), y) for y in others)[:3]
+        have = sorted((sum((a - b) ** 2 for a, b in zip(x, y)), y) for y in got[x])
+        assert have == want
+
+
+def test_smote_does_not_depend_on_blocks_and_repeats_an_only_sample(samples):
+    few = samples.where("risk_level <> 'High'").unionByName(samples.where("risk_level = 'High'").limit(1))
+    one, other = ml.smote(few), ml.smote(few.repartition(5), block_rows=25)
+    assert one.exceptAll(other).count() == other.exceptAll(one).count() == 0
+    after = {r["risk_level"]: r["n"] for r in ml.class_distribution(one).collect()}
+    assert after["High"] == after["Low"] and one.where("risk_level = 'High'").distinct().count() == 1
+
+
 def test_thresholds_prefer_the_first_of_equals(spark):
     df = spark.createDataFrame(
         [("High", 0.4, 0.6, 0.0), ("Low", 0.1, 0.9, 0.0)],
