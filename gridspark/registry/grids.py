@@ -304,8 +304,8 @@ def e32b(d: Domain):
 
 
 # --- G: models ---------------------------------------------------------------------------------
-# Tree counts are scaled down here so that a check takes seconds; the configurations themselves
-# are the full ones. The samples are always all samples.
+# G2 and G6 fit the full forest. Tree counts and depths of the others are scaled down here so that a
+# check takes seconds. The samples are always all samples.
 
 _FOREST_SCALE, _BOOSTED_SCALE, _DEPTH = 0.05, 0.006, 5
 
@@ -327,10 +327,10 @@ def g1(d: Domain):
     return rounded(ml.class_weights(_samples(d)))
 
 
-def _trained(d: Domain, config, scale):
+def _trained(d: Domain, config, scale=1.0, depth=None):
     features = materialize(grid.cells_with_data(grid.grid_features(d.outages)), "features")
     samples = _stored_samples(d)
-    return ml.train(samples, config, scale, _DEPTH), features, samples
+    return ml.train(samples, config, scale, depth), features, samples
 
 
 _CHANCE = 1.0 / len(grid.RISK_LEVELS)  # mean recall of a model that always names one level
@@ -356,13 +356,13 @@ _ALL_CELLS = with_("cells", "SELECT ci, cj, TRUE AS consistent, TRUE AS learned
 
 @query("g2_forest_predictions", _ALL_CELLS)
 def g2(d: Domain):
-    model, features, samples = _trained(d, ml.FOREST, _FOREST_SCALE)
+    model, features, samples = _trained(d, ml.FOREST)
     return _checked(ml.predict(model, features), ml.predict(model, samples))
 
 
 @query("g3_boosted_predictions", _ALL_CELLS)
 def g3(d: Domain):
-    model, features, samples = _trained(d, ml.BOOSTED, _BOOSTED_SCALE)
+    model, features, samples = _trained(d, ml.BOOSTED, _BOOSTED_SCALE, _DEPTH)
     return _checked(ml.predict(model, features), ml.predict(model, samples))
 
 
@@ -450,7 +450,7 @@ def g5c(d: Domain):
 )
 def g6(d: Domain):
     features = materialize(grid.label_by_count(grid.grid_features(d.outages)), "features")
-    model = ml.train(features, ml.FOREST, _FOREST_SCALE, _DEPTH)
+    model = ml.train(features, ml.FOREST)
     table = ml.feature_importance(d.spark, model)
     whole = table.agg(F.abs(F.sum("importance") - 1.0) < 1e-6).scalar()
     return table.select(

@@ -45,6 +45,22 @@ def test_models_beat_the_majority(spark, samples, config, scale, tmp_path):
     assert len(importance) == 13 and importance[0]["feature"] == "outage_count"
 
 
+def test_registered_forests_are_full(spark, sf_dir, monkeypatch):
+    from gridspark.registry import QUERIES
+
+    class Seen(Exception):
+        pass
+
+    def record(samples, config=ml.FOREST, scale=1.0, max_depth=None):
+        raise Seen(config.name, scale, max_depth)
+
+    monkeypatch.setattr(ml, "train", record)
+    for name in ("g2_forest_predictions", "g6_feature_importance"):
+        with pytest.raises(Seen) as seen:
+            QUERIES[name](spark, sf_dir)
+        assert seen.value.args == (ml.FOREST.name, 1.0, None)
+
+
 def test_a_missing_class_keeps_three_probabilities(samples):
     two = samples.where("risk_level <> 'High'")
     preds = ml.predict(ml.train(two, ml.FOREST, 0.02, 3), two)
