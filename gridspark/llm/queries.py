@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from gridspark.llm.align import op12_tokenizer_alignment
 from gridspark.llm.chat import op1_chat_formatting
 from gridspark.llm.decontamination import op3_benchmark_decontamination
 from gridspark.llm.jaccard_join import op9_jaccard_join
 from gridspark.llm.langid import op2_language_id
+from gridspark.llm.merkle import OP11_SQL, op11_merkle_manifest
 from gridspark.llm.packing import op10_nnls_packing
 from gridspark.llm.quality import op5_quality_classifier
 from gridspark.llm.secrets import op8_secret_scan
 from gridspark.llm.simple8b import op7_simple8b
 from gridspark.llm.topk import OP4_SQL, op4_exact_top_k
+from gridspark.llm.url_rules import op13_url_rules
 from gridspark.llm.warc import OP6_SQL, op6_warc_revisits
 
 QUERIES = {
@@ -26,6 +29,9 @@ QUERIES = {
         op8_secret_scan,
         op9_jaccard_join,
         op10_nnls_packing,
+        op11_merkle_manifest,
+        op12_tokenizer_alignment,
+        op13_url_rules,
     )
 }
 
@@ -84,4 +90,5 @@ ORACLE = {
     "op4_exact_top_k": OP4_SQL,
     "op6_warc_revisits": OP6_SQL,
     "op9_jaccard_join": OP9_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }

@@ -32,11 +32,13 @@ def tokenizer_path(name: str) -> str:
 class PieceEncoder:
     """Encodes batches of texts; keeps the ids of up to ``MEMO_PIECES`` pieces between batches."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if plain_specials:  # their strings are ordinary text
+            self.tokenizer.encode_special_tokens, self.special = True, []
         # A tokenizer with a normaliser here drops blanks; the byte-level one keeps them.
         self.keeps_blanks = self.tokenizer.normalizer is None
         self._forget()
@@ -131,3 +133,9 @@ class PieceEncoder:
 def encoder(path: str) -> PieceEncoder:
     """One encoder per worker and file."""
     return PieceEncoder(path)
+
+
+@lru_cache(maxsize=4)
+def plain_encoder(path: str) -> PieceEncoder:
+    """As :func:`encoder`, with the strings of special tokens as plain text."""
+    return PieceEncoder(path, plain_specials=True)
