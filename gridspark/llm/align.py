@@ -27,7 +27,7 @@ from gridspark.llm.common import slices, table, text_bytes
 from gridspark.llm.tokens import plain_encoder, tokenizer_path
 from gridspark.session import materialize
 
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 SLICE_ROWS = 8192
 
 

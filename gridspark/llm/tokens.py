@@ -8,6 +8,7 @@ go to the library whole.
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
 from itertools import chain
@@ -18,7 +19,7 @@ import pyarrow as pa
 
 from gridspark.llm.common import ASCII_SPACE, byte_class, text_bytes
 
-MEMO_PIECES = 800_000
+MEMO_PIECES = 400_000
 _MARK, _LETTER = byte_class(b".,;:!?|%*#$&"), byte_class(ascii_letters.encode())
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
@@ -33,6 +34,7 @@ class PieceEncoder:
     """Encodes batches of texts; keeps the ids of up to ``MEMO_PIECES`` pieces between batches."""
 
     def __init__(self, path: str, plain_specials: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # every core has a worker of its own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -46,7 +48,7 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
-        self.starts = np.zeros(MEMO_PIECES + 2, np.int64)
+        self.starts = np.zeros(MEMO_PIECES + 2, np.int32)
         self.used = 0
 
     def _learn(self, pieces: list[str]) -> None:
@@ -60,7 +62,7 @@ class PieceEncoder:
             if self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), np.uint32)])
             if k + len(some) + 1 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros(max(len(self.starts), len(some)), np.int64)])
+                self.starts = np.concatenate([self.starts, np.zeros(max(len(self.starts), len(some)), np.int32)])
             self.ids[self.used : self.used + len(ids)] = ids
             self.starts[k + 1 : k + len(some) + 1] = self.used + np.cumsum(lengths)
             self.used += len(ids)
@@ -106,10 +108,12 @@ class PieceEncoder:
             self._forget()
             known, new = self.known, words
         self._learn(new)
-        at = np.fromiter((known[w] for w in words), np.int64, len(words))[index]
-        length = self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(length)
-        out = self.ids[np.repeat(self.starts[at] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+        first, length = self.starts[at][index], np.diff(self.starts)[at][index]
+        ends = np.cumsum(length, dtype=np.int64)
+        where = np.repeat((first - ends + length).astype(np.int32), length)
+        where += np.arange(len(where), dtype=np.int32)
+        out = self.ids[where]
         begin = np.concatenate([[0], ends])[np.searchsorted(cuts, offsets)]
         return self._whole(column, out, begin)
 
