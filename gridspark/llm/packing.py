@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from gridspark.llm.common import table
+from gridspark.llm.common import slices, table
 from gridspark.llm.tokens import encoder, tokenizer_path
 from gridspark.session import materialize
 
 WINDOW = 1024
 END_ID = 0
 ROUNDS = 200
+SLICE_BYTES = 1 << 21
 
 
 def combinations(window: int, present: np.ndarray) -> np.ndarray:
@@ -145,19 +146,24 @@ def _encode(path: str, end_id: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ranks, windows = TaskContext.get().partitionId(), np.zeros(window, np.int64), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
+            for some in slices(batch, "text", 1024, SLICE_BYTES):
                 ids, begin = encoder(path).encode(some.column("text"))
                 n = np.diff(begin) + 1
                 kind = np.uint16 if not len(ids) or ids.max() < 65536 > end_id else np.uint32
                 tail = np.array([end_id], kind).tobytes()
                 ids = ids.astype(kind)
-                rest, rank, before = n % window, np.empty(len(n), np.int64), np.empty(len(n), np.int64)
-                for i, r in enumerate(rest.tolist()):
-                    rank[i], before[i] = ranks[r], windows
-                    ranks[r] += 1
-                    windows += int(n[i]) // window
-                packed = [ids[a:b].tobytes() + tail for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+                rest, full = n % window, np.cumsum(n // window)
+                order = np.argsort(rest, kind="stable")
+                sizes = np.bincount(rest, minlength=window)
+                rank = np.empty(len(n), np.int64)
+                rank[order] = np.arange(len(n)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                rank += ranks[rest]
+                ranks += sizes
+                before = windows + full - n // window
+                windows += int(full[-1])
+                data = ids.tobytes()
+                at = (begin * ids.itemsize).tolist()
+                packed = [data[a:b] + tail for a, b in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [
                         some.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(n),
