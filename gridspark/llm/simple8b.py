@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridspark.llm.common import table
+from gridspark.llm.common import slices, table
 from gridspark.llm.tokens import encoder, tokenizer_path
 from gridspark.session import scratch_dir
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
 INDEX_WORDS = 256
+SLICE_BYTES = 1 << 21
 # Fixed values of the format: ids per word and bits per id, by selector; 15 is the escape.
 COUNTS = np.array([240, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
@@ -61,25 +62,47 @@ def _windows(width: np.ndarray) -> np.ndarray:
     return best
 
 
+def _bit_length(values: np.ndarray) -> np.ndarray:
+    """Bits of every value: the exponent of a double, which holds 32 bits exactly."""
+    out = np.frexp((values & np.uint64(0xFFFFFFFF)).astype(np.float64))[1].astype(np.uint8)
+    high = values >> np.uint64(32)
+    large = high > 0
+    if large.any():
+        out[large] = 32 + np.frexp(high[large].astype(np.float64))[1]
+    return out
+
+
+def _word_starts(step: np.ndarray, stride: int = 8) -> np.ndarray:
+    """Positions reached from 0 when every position says how far the next one is.
+
+    Jumps are doubled up to ``stride`` words; only every ``stride``-th word is walked to, the words
+    between follow for all of them at once.
+    """
+    n = len(step)
+    if not n:
+        return np.empty(0, np.int64)
+    jumps = [np.append(np.minimum(np.arange(n, dtype=np.int32) + step, n), np.int32(n))]
+    while 1 << len(jumps) <= stride:
+        jumps.append(jumps[-1][jumps[-1]])
+    far, at, anchors = jumps.pop().tolist(), 0, []
+    while at < n:
+        anchors.append(at)
+        at = far[at]
+    out = np.array(anchors, np.int32)[:, None]
+    for jump in reversed(jumps):
+        out = np.stack([out, jump[out]], 2).reshape(len(out), -1)
+    out = out.ravel()
+    return out[out < n].astype(np.int64)
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words of ``ids`` (uint64) and the raw values of its escapes."""
     ids = ids.astype(np.uint64)
     if not len(ids):
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    width = np.zeros(len(ids), np.uint8)
-    rest = ids.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        big = rest >= np.uint64(1 << step)
-        width[big] += step
-        rest[big] >>= np.uint64(step)
-    width += (rest > 0).astype(np.uint8)
+    width = _bit_length(ids)
     best = _windows(width)
-    step, at, n = COUNTS[best].tolist(), 0, len(ids)
-    starts = []
-    while at < n:  # one turn per word
-        starts.append(at)
-        at += step[at]
-    start = np.array(starts)
+    start = _word_starts(COUNTS[best].astype(np.int32))
     selector = best[start]
     words = selector.astype(np.uint64) << np.uint64(60)
     for s in range(1, 15):
@@ -135,8 +158,7 @@ def _write(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, number = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
+            for some in slices(batch, "text", 1024, SLICE_BYTES):
                 ids, begin = encoder(path).encode(some.column("text"))
                 lengths = np.diff(begin) + 1
                 ends = np.cumsum(lengths)
