@@ -17,7 +17,7 @@ from gridspark.llm.packing import pack
 from gridspark.llm.quality import KEEP_SCORE, SCORES, co_train
 from gridspark.llm.secrets import redact
 from gridspark.llm.tokens import tokenizer_path
-from gridspark.session import scratch_dir
+from gridspark.session import release, scratch_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,5 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = scratch_dir(spark, "pipeline-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(docs)  # the stage before; the given table has no such folder
         docs = spark.read.parquet(path)
+        docs.scratch_path = path
     return docs
