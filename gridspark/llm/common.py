@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -10,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-SEGMENT_BYTES = 1 << 21
+SEGMENT_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -176,11 +175,3 @@ def in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     a, b = values % n, (values >> np.uint64(24)) % n
     get = lambda p: (bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
     return (get(a) & get(b)).astype(bool)
-
-
-def sha256_lines(columns: list[Column]) -> Column:
-    return F.sha2(F.concat(*columns), 256)
-
-
-def as_json(value) -> str:
-    return json.dumps(value, sort_keys=True)

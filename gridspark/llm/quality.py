@@ -1,9 +1,11 @@
 """Document quality by co-training two views.
 
 The text view sees which words occur and how they repeat; the metadata view sees source, language and
-length. Each round both views are fitted, and each hands the other the pool documents it is confident
-of as pseudo-labels. The final views are calibrated on labelled rows kept out of the fits, by a logistic
-model over both views' log-odds, and that model scores every document.
+the size classes of a page (characters, lines, words, and their ratios). Each round both views are fitted and
+calibrated on labelled rows kept out of the fits, and each hands the other those pool documents it is surest
+of, good and bad ones in the classes' ratio. A pseudo-label is the giver's calibrated chance, so an unsure
+view says little. At the end a logistic model over both views' log-odds, fitted on the kept-out rows, scores
+every document.
 
 A document is good if it is labelled of quality and not toxic. Fits use a bounded sample: at most
 ``LABELLED_ROWS`` labelled and ``POOL_ROWS`` unlabelled documents, drawn by a hash of their id; its
@@ -24,17 +26,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridspark.llm.common import byte_class, slices, table, text_bytes, word_hashes
+from gridspark.llm.common import byte_class, mix, slices, table, text_bytes, word_hashes
 from gridspark.session import materialize
 
 LABELLED_ROWS = 12_000
 POOL_ROWS = 6_000
 ROUNDS = 2
-CONFIDENT = 0.98
+EXCHANGED = 0.05  # share of the pool that a view hands over at most each round
+SURER = 1.5  # log-odds that it must be above or below the usual odds for that
 BUCKETS = 1 << 17
 KEEP_SCORE = 0.5
-EPOCHS = 10
+EPOCHS = 30
+SPARSITY = 0.3  # penalty on the absolute weight of a bucket
+MIN_ROWS = 10  # sample rows that a bucket must occur in
+SLICE_BYTES = 1 << 21
 SHAPE = 4
+WIDTH = 11  # buckets of a text's metadata
 SCORES = ("text_score", "metadata_score", "score")
 
 _BETWEEN = ~byte_class(bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)))
@@ -50,7 +57,8 @@ def text_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     doc = np.repeat(np.arange(n), count)
     distinct = np.unique(doc.astype(np.uint64) << np.uint64(17) | (words % np.uint64(BUCKETS)))
     begin = np.searchsorted(distinct, np.arange(n + 1).astype(np.uint64) << np.uint64(17))
-    marks = np.concatenate([[0], np.cumsum(_MARKS[data])])
+    marks = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(_MARKS[data], dtype=np.int32, out=marks[1:])
     size = np.maximum(np.diff(offsets), 1)
     share = np.diff(marks[offsets]) / size
     repeats = 1 - np.diff(begin) / np.maximum(count, 1)
@@ -59,14 +67,34 @@ def text_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _tags(documents: DataFrame) -> Column:
-    """Buckets of the metadata: source, language, length class, and source with language."""
+    """Buckets of the named metadata: language, source, and both."""
     text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("?"))
-    size = F.floor(F.log2(F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))) + 1.0) * 2).cast("string")
-    parts = [F.concat(F.lit("s"), text("source")), F.concat(F.lit("l"), text("lang")), F.concat(F.lit("n"), size)]
+    parts = [F.concat(F.lit("l"), text("lang")), F.concat(F.lit("s"), text("source"))]
     parts.append(F.concat(F.lit("b"), text("source"), F.lit("\x00"), text("lang")))
     return F.array(*[F.pmod(F.xxhash64(p), F.lit(BUCKETS)) for p in parts])
 
 
+def metadata_features(tags: pa.Array, column: pa.Array) -> np.ndarray:
+    """Per text the buckets of its tags and of its size classes, these also with the language."""
+    data, offsets = text_bytes(column)
+    size = np.diff(offsets)
+
+    def seen(marks: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(marks, dtype=np.int32, out=sums[1:])
+        return np.diff(sums[offsets])
+
+    lines = 1 + seen(data == 10)
+    words = 1 + seen((data == 32) | (data == 10) | (data == 9))
+    named = tags.flatten().to_numpy(zero_copy_only=False).reshape(len(tags), -1).astype(np.uint64)
+    ratios = ((size + 1, 2), (lines, 2), ((size + 1) / lines, 3), ((size + 1) / words, 8))
+    classes = np.stack([4096 * k + np.floor(np.log2(v) * fine) for k, (v, fine) in enumerate(ratios)], 1).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        crossed = classes + ((named[:, :1] + np.uint64(1)) << np.uint64(16))
+        hashed = mix(np.concatenate([classes, crossed], 1)) % np.uint64(BUCKETS)
+    return np.concatenate([named, hashed], 1).astype(np.int64)
+
+
 @dataclass
 class Sparse:
     """Rows of bucket lists with a dense part."""
@@ -80,9 +108,14 @@ class Sparse:
         return np.diff(sums[self.begin]) + self.dense @ weights[BUCKETS:]
 
 
-def fit_logistic(x: Sparse, y: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights of a logistic model by adaptive gradient steps over small groups of rows."""
+def fit_logistic(x: Sparse, y: np.ndarray, epochs: int = EPOCHS, sparsity: float = SPARSITY) -> np.ndarray:
+    """Weights of a sparse logistic model by adaptive proximal steps over small groups of rows.
+
+    ``y``: targets from 0 to 1, NaN for rows that don't count.
+    """
     width = x.dense.shape[1]
+    frequent = np.bincount(x.buckets, minlength=BUCKETS)[x.buckets] >= MIN_ROWS
+    begin, buckets = np.concatenate([[0], np.cumsum(frequent)])[x.begin], x.buckets[frequent]
     weights, seen = np.zeros(BUCKETS + width), np.full(BUCKETS + width, 1e-8)
     order = np.random.default_rng(7)
     rows = np.flatnonzero(~np.isnan(y))
@@ -90,7 +123,7 @@ def fit_logistic(x: Sparse, y: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
         order.shuffle(rows)
         for at in range(0, len(rows), 64):
             some = rows[at : at + 64]
-            spans = [x.buckets[x.begin[r] : x.begin[r + 1]] for r in some]
+            spans = [buckets[begin[r] : begin[r + 1]] for r in some]
             flat = np.concatenate(spans)
             lengths = np.array([len(s) for s in spans])
             sums = np.concatenate([[0.0], np.cumsum(weights[flat])])[np.concatenate([[0], np.cumsum(lengths)])]
@@ -101,7 +134,11 @@ def fit_logistic(x: Sparse, y: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
             both = np.concatenate([touched, BUCKETS + np.arange(width)])
             slope = np.concatenate([slope, x.dense[some].T @ error]) + 1e-4 * weights[both]
             seen[both] += slope * slope
-            weights[both] -= 0.1 * slope / np.sqrt(seen[both])
+            rate = 0.1 / np.sqrt(seen[both])
+            moved = weights[both] - rate * slope
+            k = len(touched)
+            moved[:k] = np.sign(moved[:k]) * np.maximum(0, np.abs(moved[:k]) - rate[:k] * sparsity)
+            weights[both] = moved
     return weights
 
 
@@ -153,9 +190,10 @@ class CoTrained:
             m = shared.value
             chance = lambda z: pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))
             for batch in batches:
-                for some in slices(batch, names.index("text")):
-                    a = Sparse(*text_features(some.column(names.index("text")).cast(pa.string()))).margins(m.text)
-                    b = _tag_rows(some.column(len(names))).margins(m.metadata)
+                for some in slices(batch, names.index("text"), size=SLICE_BYTES):
+                    texts = some.column(names.index("text")).cast(pa.string())
+                    a = Sparse(*text_features(texts)).margins(m.text)
+                    b = _rows(metadata_features(some.column(len(names)), texts)).margins(m.metadata)
                     joint = m.joint[0] * a + m.joint[1] * b + m.joint[2]
                     yield pa.RecordBatch.from_arrays(
                         [*some.columns[: len(names)], chance(a), chance(b), chance(joint)],
@@ -165,19 +203,21 @@ class CoTrained:
         return rows.mapInArrow(run, schema)
 
 
-def _tag_rows(column: pa.Array) -> Sparse:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    n = len(column)
-    return Sparse(flat, np.arange(n + 1) * (len(flat) // max(n, 1)), np.ones((n, 1)))
+def _rows(buckets: np.ndarray) -> Sparse:
+    """Rows of equally many buckets."""
+    n, width = buckets.shape
+    return Sparse(buckets.ravel(), np.arange(n + 1) * width, np.ones((n, 1)))
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for some in (part for batch in batches for part in slices(batch, "text")):
+    for some in (part for batch in batches for part in slices(batch, "text", size=SLICE_BYTES)):
         buckets, begin, shape = text_features(some.column("text"))
+        metadata = metadata_features(some.column("tags"), some.column("text")).astype(np.int32)
+        tags = pa.ListArray.from_arrays(pa.array(np.arange(len(metadata) + 1, dtype=np.int32) * WIDTH), pa.array(metadata.ravel()))
         lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(buckets.astype(np.int32)))
         dense = pa.ListArray.from_arrays(pa.array(np.arange(len(shape) + 1, dtype=np.int32) * SHAPE), pa.array(shape.ravel()))
         yield pa.RecordBatch.from_arrays(
-            [some.column("doc_id"), some.column("y"), some.column("fold"), some.column("tags"), lists, dense],
+            [some.column("doc_id"), some.column("y"), some.column("fold"), tags, lists, dense],
             ["doc_id", "y", "fold", "tags", "buckets", "shape"],
         )
 
@@ -203,7 +243,7 @@ def co_train(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> C
     )
     # A document repeated under one id counts once.
     once = sample.mapInArrow(
-        _sample_features, "doc_id long, y double, fold int, tags array<long>, buckets array<int>, shape array<double>"
+        _sample_features, "doc_id long, y double, fold int, tags array<int>, buckets array<int>, shape array<double>"
     )
     rows = materialize(once, "quality-features").dropDuplicates(["doc_id"]).orderBy(_hash("doc_id"), "doc_id").toArrow()
     y = rows["y"].to_numpy(zero_copy_only=False).astype(float)
@@ -213,23 +253,46 @@ def co_train(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> C
     begin = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
     dense = rows["shape"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, SHAPE)
     text = Sparse(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), begin, dense)
-    metadata = _tag_rows(rows["tags"].combine_chunks())
+    metadata = _rows(rows["tags"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, WIDTH))
     held = rows["fold"].to_numpy() == 0
     fit_on = np.where(held, np.nan, y)
     if len(set(fit_on[~np.isnan(fit_on)])) < 2 or len(set(y[held & ~np.isnan(y)])) < 2:
         fit_on, held = y, ~np.isnan(y)  # too few labels to keep any out
-    pool_rows = np.isnan(y)
-    y_text, y_metadata = fit_on.copy(), fit_on.copy()
-    limit = np.log(CONFIDENT / (1 - CONFIDENT))
+    return exchange(text, metadata, y, fit_on, held, rounds)[0]
+
+
+def exchange(
+    text: Sparse, metadata: Sparse, y: np.ndarray, fit_on: np.ndarray, held: np.ndarray, rounds: int
+) -> tuple[CoTrained, list[tuple[int, int]]]:
+    """Co-train on sample rows; the model, and how many rows text and metadata handed over each round.
+
+    ``y``: labels (NaN: pool rows); ``fit_on``: those that fits may see; ``held``: rows for calibration.
+    """
+    use, pool = held & ~np.isnan(y), np.isnan(y)
+    nothing = np.zeros(int(use.sum()))
+    targets = [fit_on.copy(), fit_on.copy()]  # of the text and of the metadata view
+    good = float(np.nanmean(fit_on))
+    usual = np.log(good / (1 - good))
+    many = int(np.ceil(EXCHANGED * pool.sum()))
+    handed = []
     for last in [False] * rounds + [True]:
-        w_text, w_metadata = fit_logistic(text, y_text), fit_logistic(metadata, y_metadata)
-        a, b = text.margins(w_text), metadata.margins(w_metadata)
-        if not last:
-            for labels_of, odds in ((y_text, b), (y_metadata, a)):
-                labels_of[pool_rows & (odds > limit)] = 1
-                labels_of[pool_rows & (odds < -limit)] = 0
-    use = held & ~np.isnan(y)
-    return CoTrained(None, w_text, w_metadata, fit_joint(a[use], b[use], y[use]))
+        w_text, w_metadata = fit_logistic(text, targets[0]), fit_logistic(metadata, targets[1])
+        odds = [text.margins(w_text), metadata.margins(w_metadata)]
+        if last:
+            return CoTrained(None, w_text, w_metadata, fit_joint(odds[0][use], odds[1][use], y[use])), handed
+        given = []
+        for giver in (0, 1):
+            slope, _, shift = fit_joint(odds[giver][use], nothing, y[use])
+            sure = slope * odds[giver] + shift
+            theirs = targets[1 - giver]
+            free = np.flatnonzero(pool & np.isnan(theirs))
+            free = free[np.argsort(sure[free], kind="stable")]
+            bad, fine = free[: int(many * (1 - good))], free[len(free) - int(np.ceil(many * good)) :]
+            some = np.union1d(bad[sure[bad] < usual - SURER], fine[sure[fine] > usual + SURER])
+            given.append((some, 1 / (1 + np.exp(-np.clip(sure[some], -30, 30)))))
+        for giver, (some, chance) in enumerate(given):
+            targets[1 - giver][some] = chance
+        handed.append((len(given[0][0]), len(given[1][0])))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
