@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridspark.functions import outage as out
 from gridspark.functions.coerce import percent, ratio, to_double
-from gridspark.operators.quantiles import exact_quantiles, quantile_scalar
+from gridspark.operators.quantiles import quantile_scalar
 from gridspark.operators.ranking import top_k, top_k_per_group
 from gridspark.operators.spatial import located
 
@@ -322,8 +322,3 @@ def binned_heat_points(df: DataFrame, size: float = 0.02) -> DataFrame:
     y = (F.rint(F.col("latitude") / size) * size).alias("latitude")
     x = (F.rint(F.col("longitude") / size) * size).alias("longitude")
     return points.groupBy(y, x).agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
-
-
-def group_medians(df: DataFrame, column: str, by: list[str]) -> DataFrame:
-    found = exact_quantiles(df, F.col(column), [0.5], by)
-    return found.select(*by, F.get("q", F.lit(0)).alias("median"))

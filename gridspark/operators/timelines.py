@@ -140,16 +140,16 @@ def month_over_month(df: DataFrame) -> DataFrame:
     is null when the earlier value is not positive.
     """
     dated = df.withColumn("month", F.date_trunc("month", "incident_date_time").cast("date"))
-    # The two latest months by two scalar aggregates; no list of months is built.
-    last = dated.agg(F.max("month").alias("m")).scalar()
-    previous = dated.where(F.col("month") < last).agg(F.max("month").alias("m")).scalar()
-    single = previous.isNull()
-    period = (
-        F.when(single, F.lit("current"))
-        .when(F.col("month") == last, F.lit("current"))
-        .when(F.col("month") == previous, F.lit("previous"))
-    )
-    rows = dated.withColumn("period", period).where(F.col("period").isNotNull())
+    # The two latest months as numbers (an action), so that the scans below can skip the rest.
+    known = dated.where(F.col("month").isNotNull()).select("month").distinct()
+    months = [r["month"] for r in known.orderBy(F.col("month").desc()).limit(2).collect()]
+    single = F.lit(len(months) < 2)
+    if len(months) < 2:
+        period = F.lit("current")
+    else:
+        dated = dated.where(F.col("incident_date_time") >= F.lit(months[1]))
+        period = F.when(F.col("month") == F.lit(months[0]), "current").otherwise("previous")
+    rows = dated.withColumn("period", period)
     totals = rows.groupBy("period").agg(
         F.max(F.when(~single, F.date_format("month", "yyyy-MM"))).alias("month"),
         F.sum("customer_affected").alias("customers_affected"),

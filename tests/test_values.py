@@ -197,3 +197,38 @@ def test_document_title(spark):
     df = spark.createDataFrame(rows, "id int, text string")
     got = {r["id"]: r["title"] for r in textsearch.document_titles(df).collect()}
     assert got == {1: "The Title #", 2: "", 3: ""}
+
+
+def test_quantiles_narrow_large_windows_and_survive_a_wrong_sketch(spark, monkeypatch):
+    """Neither the number of values that may meet nor the sketch's bounds change the result."""
+    import numpy as np
+
+    from gridspark.operators import quantiles
+
+    df = spark.range(30_000).selectExpr(
+        "CASE WHEN id % 10 = 0 THEN NULL WHEN id % 3 = 0 THEN 5.0D ELSE CAST((id * 7919) % 100003 AS DOUBLE) / 7 END AS v",
+        "CASE WHEN id % 5 = 0 THEN NULL ELSE 'x' END AS g",
+    )
+    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
+    rows = df.collect()
+    want = {
+        g: np.quantile([r.v for r in rows if r.v is not None and r.g == g], probs).tolist()
+        for g in (None, "x")
+    }
+
+    def check():
+        got = quantiles.group_quantiles(df, F.col("v"), probs, ["g"])
+        assert {k[0]: q for k, q in got.items()} == {g: pytest.approx(q, abs=1e-9) for g, q in want.items()}
+
+    monkeypatch.setattr(quantiles, "MOST_VALUES", 50)
+    check()
+    monkeypatch.undo()
+    plain, calls = quantiles._window, []
+
+    def wrong_at_first(rank, n, row):
+        calls.append(rank)
+        return (row["_min"], row["_min"]) if len(calls) < 15 else plain(rank, n, row)
+
+    monkeypatch.setattr(quantiles, "_window", wrong_at_first)
+    check()
+    assert len(calls) > 15
