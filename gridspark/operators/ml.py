@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import product
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gridspark.functions.coerce import percent, ratio
+from gridspark.operators import boosting
+from gridspark.operators.boosting import BoostedModel
 from gridspark.operators.grid import FEATURES, RISK_LEVELS
 from gridspark.session import materialize
 
@@ -26,9 +24,10 @@ SEED = 42
 class Config:
     """One model configuration.
 
-    ``kind`` is ``forest`` or ``boosted``. Boosting runs one binary ensemble per class because
-    MLlib's boosted trees are binary. ``scale`` in the training functions shrinks the number of
-    trees for quick runs.
+    ``kind`` is ``forest`` (MLlib, all samples) or ``boosted`` (multi-class, see ``boosting``, at most
+    ``boosting.CLASS_ROWS`` samples of each class, weighted as all). ``features`` is MLlib's strategy, or the share
+    of features a boosted tree sees. ``scale`` in the training functions shrinks the number of trees for
+    quick runs.
     """
 
     name: str
@@ -41,25 +40,26 @@ class Config:
     features: str = "auto"
     balanced: bool = False
     smote: bool = False
-    extra: dict = field(default_factory=dict, compare=False)
+    min_gain: float = 0.0
+    l1: float = 0.0
 
 
 # The two production models and the ten compared configurations.
 FOREST = Config("Random Forest", "forest", 200, 12, min_leaf=2, balanced=True)
 BOOSTED = Config(
-    "Boosted trees", "boosted", 500, 10, rate=0.03, subsample=0.7, features="0.7", balanced=True
+    "Boosted trees", "boosted", 500, 10, 1, 0.03, 0.7, "0.7", balanced=True, min_gain=0.2, l1=0.1
 )
 CONFIGS = (
     Config("RF (original)", "forest", 200, 12, min_leaf=2, balanced=True),
     Config("XGB (original)", "boosted", 200, 6, rate=0.1, subsample=0.8, features="0.8"),
     Config("RF (improved)", "forest", 500, 15, features="sqrt", balanced=True),
-    Config("XGB (improved)", "boosted", 300, 6, 3, 0.05, 0.8, "0.8", balanced=True),
+    Config("XGB (improved)", "boosted", 300, 6, 3, 0.05, 0.8, "0.8", True, min_gain=0.1, l1=0.1),
     Config("RF (deep)", "forest", 800, 25, features="sqrt", balanced=True),
-    Config("XGB (deep)", "boosted", 500, 10, 1, 0.03, 0.7, "0.7", balanced=True),
+    Config("XGB (deep)", "boosted", 500, 10, 1, 0.03, 0.7, "0.7", True, min_gain=0.2, l1=0.1),
     Config("RF + SMOTE", "forest", 500, 15, features="sqrt", smote=True),
     Config("XGB + SMOTE", "boosted", 300, 8, 1, 0.05, 0.8, "0.8", smote=True),
     Config("RF + SMOTE + deep", "forest", 800, 30, features="sqrt", smote=True),
-    Config("XGB + SMOTE + deep", "boosted", 500, 12, 1, 0.03, 0.7, "0.7", smote=True),
+    Config("XGB + SMOTE + deep", "boosted", 500, 12, 1, 0.03, 0.7, "0.7", smote=True, min_gain=0.1),
 )
 
 
@@ -94,40 +94,67 @@ def _stages() -> list:
     return [VectorAssembler(inputCols=list(FEATURES), outputCol="features"), indexer]
 
 
+def weighted(samples: DataFrame, config: Config, rows: int | None) -> DataFrame:
+    """Samples with the weight a fit gives them, at most ``rows`` of each class (None: all)."""
+    data = with_weights(samples) if config.balanced else samples.withColumn("weight", F.lit(1.0))
+    if rows is None:
+        return data
+    data = boosting.bounded(data, list(FEATURES), "risk_level", rows)
+    return data.withColumn("weight", F.col("weight") * F.col("stands_for")).drop("stands_for")
+
+
 def train(
-    samples: DataFrame, config: Config = FOREST, scale: float = 1.0, max_depth: int | None = None
-) -> PipelineModel:
-    """Fit one configuration. The label index is attached only for the fit."""
+    samples: DataFrame, config: Config = FOREST, scale: float = 1.0, max_depth: int | None = None,
+    rows: int | None = None,
+) -> PipelineModel | BoostedModel:
+    """Fit one configuration. The label index is attached only for the fit.
+
+    ``rows`` bounds a forest's samples of each class; boosted fits are always bounded.
+    """
+    if config.kind == "boosted":
+        return train_boosted({"": (samples, config)}, scale, max_depth)[""]
     depth = min(config.depth, max_depth or config.depth)
     trees = max(1, round(config.trees * scale))
-    data = smote(samples) if config.smote else samples
-    data = with_weights(data) if config.balanced else data.withColumn("weight", F.lit(1.0))
+    data = weighted(smote(samples) if config.smote else samples, config, rows)
     assembler, indexer = _stages()
-    common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
-    if config.kind == "forest":
-        learner = RandomForestClassifier(
-            numTrees=trees,
-            maxDepth=depth,
-            minInstancesPerNode=config.min_leaf,
-            featureSubsetStrategy=config.features,
-            seed=SEED,
-            **common,
-        )
-    else:
-        binary = GBTClassifier(
-            maxIter=trees,
-            maxDepth=depth,
-            minInstancesPerNode=config.min_leaf,
-            stepSize=config.rate,
-            subsamplingRate=config.subsample,
-            featureSubsetStrategy=config.features,
-            seed=SEED,
-        )
-        learner = OneVsRest(classifier=binary, parallelism=3, **common)
+    learner = RandomForestClassifier(
+        numTrees=trees,
+        maxDepth=depth,
+        minInstancesPerNode=config.min_leaf,
+        featureSubsetStrategy=config.features,
+        seed=SEED,
+        featuresCol="features",
+        labelCol="label",
+        weightCol="weight",
+    )
     ready = _with_three_classes(indexer.transform(assembler.transform(data)))
     return PipelineModel([assembler, learner.fit(ready)])
 
 
+def train_boosted(
+    fits: dict[str, tuple[DataFrame, Config]], scale: float = 1.0, max_depth: int | None = None
+) -> dict[str, BoostedModel]:
+    """Fit boosted configurations on their samples, side by side in one job."""
+    ready = {}
+    for name, (samples, config) in fits.items():
+        rows = weighted(samples, config, boosting.CLASS_ROWS)
+        if config.smote:
+            rows = smote(rows).withColumn("weight", F.lit(1.0))
+        ready[name] = rows, boosting.Settings(
+            rounds=max(1, round(config.trees * scale)),
+            depth=min(config.depth, max_depth or config.depth),
+            rate=config.rate,
+            subsample=config.subsample,
+            columns=1.0 if config.features == "auto" else float(config.features),
+            min_weight=config.min_leaf,
+            min_gain=config.min_gain,
+            l1=config.l1,
+            seed=SEED,
+        )
+    level = F.array_position(F.array(*[F.lit(v) for v in RISK_LEVELS]), F.col("risk_level")).cast("int") - 1
+    return boosting.fit_many(ready, FEATURES, level, len(RISK_LEVELS))
+
+
 def _with_three_classes(df: DataFrame) -> DataFrame:
     """Declare three classes in the label metadata, whichever of them occur."""
     meta = {"ml_attr": {"type": "nominal", "name": "label", "vals": list(RISK_LEVELS)}}
@@ -135,15 +162,11 @@ def _with_three_classes(df: DataFrame) -> DataFrame:
 
 
 def _probabilities(df: DataFrame) -> Column:
-    if "probability" in df.columns:
-        return vector_to_array("probability")
-    # One binary margin per class: logistic of twice the margin, normalised.
-    margins = F.transform(vector_to_array("rawPrediction"), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-    total = F.aggregate(margins, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(margins, lambda p: F.coalesce(F.try_divide(p, total), F.lit(0.0)))
+    array = isinstance(df.schema["probability"].dataType, T.ArrayType)
+    return F.col("probability") if array else vector_to_array("probability")
 
 
-def predict(model: PipelineModel, cells: DataFrame) -> DataFrame:
+def predict(model: PipelineModel | BoostedModel, cells: DataFrame) -> DataFrame:
     """Cells with predicted level, confidence and the three probabilities."""
     keep = [c for c in cells.columns if c not in FEATURES and c not in ("risk_level", "risk_rank")]
     actual = ["risk_level"] if "risk_level" in cells.columns else []
@@ -208,14 +231,13 @@ def evaluate(preds: DataFrame, by: list[str] = ()) -> DataFrame:
     return metrics(confusion(preds, by), by)
 
 
-def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
-    """Features by falling importance; for boosting the mean over the class ensembles."""
-    last = model.stages[-1]
-    if hasattr(last, "featureImportances"):
-        vectors = [last.featureImportances.toArray()]
+def feature_importance(spark: SparkSession, model: PipelineModel | BoostedModel) -> DataFrame:
+    """Features by falling importance; for boosting the mean gain of their splits."""
+    if isinstance(model, BoostedModel):
+        values = model.importances
     else:
-        vectors = [m.featureImportances.toArray() for m in last.models]
-    rows = [(f, float(sum(v[i] for v in vectors) / len(vectors))) for i, f in enumerate(FEATURES)]
+        values = model.stages[-1].featureImportances.toArray().tolist()
+    rows = list(zip(FEATURES, values))
     df = spark.createDataFrame(rows, "feature string, importance double")
     return df.orderBy(F.col("importance").desc(), "feature")
 
@@ -443,10 +465,16 @@ def smote(
 # --- saving ------------------------------------------------------------------------------------
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
+def save_model(model: PipelineModel | BoostedModel, path: str) -> None:
+    if isinstance(model, BoostedModel):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
 
+def load_model(path: str) -> PipelineModel | BoostedModel:
+    spark = SparkSession.active()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stages")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):  # MLlib's layout
+        return PipelineModel.load(path)
+    return boosting.load(spark, path)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
-from gridspark.operators import grid, ml
+from gridspark.operators import boosting, grid, ml
 from gridspark.session import materialize
 
 METRICS = ("accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_macro")
@@ -12,23 +14,36 @@ METRICS = ("accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_mac
 
 def walk_forward(
     samples: DataFrame, configs=(ml.FOREST, ml.BOOSTED), folds: int = 5, scale: float = 1.0,
-    max_depth: int | None = None,
+    max_depth: int | None = None, forest_scale: float | None = None,
 ) -> DataFrame:
     """Metrics per configuration and round: train on the past, validate on the next fold.
 
-    The loop runs over a few model fits; only their metric rows come to the driver.
+    Fits see at most ``boosting.CLASS_ROWS`` samples of each class, weighted as all; every validation
+    sees the whole fold. A round's samples are oversampled once for all configurations that ask for
+    it. The boosted fits of all rounds run side by side, the forests in a loop; only metric
+    rows come to the driver. ``forest_scale`` shrinks forests alone.
     """
     spark = samples.sparkSession
     data = materialize(grid.with_folds(samples, folds), "samples")
-    rows = []
-    for k in range(1, folds):
-        past, future = data.where(F.col("fold") <= k), data.where(F.col("fold") == k + 1)
-        if past.isEmpty() or future.isEmpty():
-            continue
+    filled = {r["fold"] for r in data.select("fold").distinct().collect()}  # a few numbers
+    rounds = [k for k in range(1, folds) if k + 1 in filled and min(filled) <= k]
+    fits = {}
+    for k in rounds:
+        past = data.where(F.col("fold") <= k)
+        if any(config.smote for config in configs):
+            some = boosting.bounded(past, list(grid.FEATURES), "risk_level").drop("stands_for")
+            filled_up = materialize(ml.smote(some), "oversampled")
         for config in configs:
-            model = ml.train(past, config, scale, max_depth)
-            scores = ml.evaluate(ml.predict(model, future)).first()
-            rows.append((config.name, k, *[float(scores[m]) for m in METRICS]))
+            fits[config.name, k] = (filled_up, replace(config, smote=False)) if config.smote else (past, config)
+    boosted = {f"{n} {k}": fit for (n, k), fit in fits.items() if fit[1].kind == "boosted"}
+    models = ml.train_boosted(boosted, scale, max_depth)
+    rows = []
+    for (name, k), (past, config) in fits.items():
+        model = models.get(f"{name} {k}") or ml.train(
+            past, config, forest_scale or scale, max_depth, boosting.CLASS_ROWS
+        )
+        scores = ml.evaluate(ml.predict(model, data.where(F.col("fold") == k + 1))).first()
+        rows.append((name, k, *[float(scores[m]) for m in METRICS]))
     schema = "config string, fold int, " + ", ".join(f"{m} double" for m in METRICS)
     return spark.createDataFrame(rows, schema)
 
