@@ -100,7 +100,8 @@ def weighted(samples: DataFrame, config: Config, rows: int | None) -> DataFrame:
     if rows is None:
         return data
     data = boosting.bounded(data, list(FEATURES), "risk_level", rows)
-    return data.withColumn("weight", F.col("weight") * F.col("stands_for")).drop("stands_for")
+    data = data.withColumn("weight", F.col("weight") * F.col("stands_for")).drop("stands_for")
+    return data.repartition(data.sparkSession.sparkContext.defaultParallelism)  # a few rows, many passes
 
 
 def train(

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.operators import grid, ml
+from gridspark.operators import boosting, grid, ml
 from gridspark.plans import training
 
 
@@ -45,20 +45,83 @@ def test_models_beat_the_majority(spark, samples, config, scale, tmp_path):
     assert len(importance) == 13 and importance[0]["feature"] == "outage_count"
 
 
-def test_registered_forests_are_full(spark, sf_dir, monkeypatch):
+def test_registered_fits_are_full(spark, sf_dir, monkeypatch):
     from gridspark.registry import QUERIES
 
     class Seen(Exception):
         pass
 
-    def record(samples, config=ml.FOREST, scale=1.0, max_depth=None):
-        raise Seen(config.name, scale, max_depth)
+    def record(samples, config=ml.FOREST, scale=1.0, max_depth=None, rows=None):
+        raise Seen(config.name, scale, max_depth, rows)
 
     monkeypatch.setattr(ml, "train", record)
-    for name in ("g2_forest_predictions", "g6_feature_importance"):
+    fits = {"g2_forest_predictions": ml.FOREST, "g3_boosted_predictions": ml.BOOSTED, "g6_feature_importance": ml.FOREST, "a9_saved_model": ml.FOREST}
+    for name, config in fits.items():
         with pytest.raises(Seen) as seen:
             QUERIES[name](spark, sf_dir)
-        assert seen.value.args == (ml.FOREST.name, 1.0, None)
+        assert seen.value.args == (config.name, 1.0, None, None)
+
+
+def test_one_boosted_split_is_the_best_newton_step():
+    """A tree of one split against trying every cut, with L1, L2 and the least weight on both sides."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, s = 400, boosting.Settings(1, 1, 0.5, min_weight=4.0, l1=0.3, l2=1.5)
+    x = rng.integers(0, 12, (n, 3)).astype(float)
+    y = np.where(x[:, 1] > 7, 2, np.where(x[:, 1] > 3, 1, 0))
+    y = np.where(rng.random(n) < 0.2, rng.integers(0, 3, n), y)
+    w = rng.random(n) + 0.5
+    model = boosting.fit(x, y, w, 3, s)
+    got = boosting.margins(model, x)
+    p = 1 / 3
+    for k in range(3):
+        g, h = (p - (y == k)) * w, np.full(n, 2 * p * (1 - p)) * w
+        score = lambda m: max(abs(g[m].sum()) - s.l1, 0) ** 2 / (h[m].sum() + s.l2)
+        step = lambda m: -s.rate * np.sign(g[m].sum()) * max(abs(g[m].sum()) - s.l1, 0) / (h[m].sum() + s.l2)
+        tried = {}
+        for f in range(3):
+            for cut in range(11):
+                left = x[:, f] <= cut
+                if h[left].sum() >= s.min_weight and h[~left].sum() >= s.min_weight:
+                    tried[f, cut] = score(left) + score(~left)
+        left = x[:, max(tried, key=tried.get)[0]] <= max(tried, key=tried.get)[1]
+        assert got[:, k] == pytest.approx(np.where(left, step(left), step(~left)))
+
+
+def test_boosting_shares_rounds_between_classes():
+    """Three classes that no single binary split tells apart; margins of a class grow as the others' fall."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.random((3000, 4))
+    y = (3 * ((x[:, 0] * 2) % 1)).astype(int)
+    model = boosting.fit(x, y, np.ones(3000), 3, boosting.Settings(40, 5, 0.3, subsample=0.8, columns=0.75))
+    fresh = rng.random((2000, 4))
+    truth = (3 * ((fresh[:, 0] * 2) % 1)).astype(int)
+    assert (boosting.margins(model, fresh).argmax(1) == truth).mean() > 0.95
+    assert int(np.argmax(model["gain"])) == 0 and model["gain"].sum() == pytest.approx(1)
+    assert len(model["size"]) == 40 * 3
+
+
+def test_bounded_samples_stand_for_all(spark, samples):
+    kept = boosting.bounded(samples, list(grid.FEATURES), "risk_level", 100)
+    rows = kept.groupBy("risk_level").agg(F.count(F.lit(1)).alias("n"), F.sum("stands_for").alias("all")).collect()
+    whole = {r.risk_level: r["count"] for r in samples.groupBy("risk_level").count().collect()}
+    assert {r.risk_level: round(r["all"]) for r in rows} == whole
+    assert all(r.n == min(100, whole[r.risk_level]) for r in rows)
+    again = boosting.bounded(samples.repartition(7), list(grid.FEATURES), "risk_level", 100)
+    assert kept.exceptAll(again).count() == 0
+
+
+def test_fits_side_by_side_equal_single_ones(spark, samples):
+    import dataclasses
+
+    small = dataclasses.replace(ml.BOOSTED, trees=5, depth=4)
+    both = ml.train_boosted({"a": (samples, small), "b": (samples.where("risk_level <> 'High'"), small)})
+    one = ml.train(samples.repartition(5), small)
+    assert both["a"].trees["value"].tolist() == one.trees["value"].tolist()
+    assert ml.predict(both["b"], samples).where("risk_level = 'High'").count() == 0
 
 
 def test_a_missing_class_keeps_three_probabilities(samples):
