@@ -87,19 +87,22 @@ def _band(lat: Column, height: float) -> Column:
     return F.floor((lat + 90.0) / height)
 
 
-def _band_width(band: Column, height: float, metric: str) -> Column:
-    if metric != "haversine":
-        return F.lit(height)
+def _ring(band: Column, height: float, metric: str) -> Column:
+    """Slots of a haversine band: as many of the least width as fill the circle, so that it closes."""
     top = F.greatest(F.abs(band * height - 90.0), F.abs((band + 1) * height - 90.0))
     shrink = F.greatest(F.cos(F.radians(F.least(top, F.lit(90.0)))), F.lit(1e-6))
-    return F.least(F.lit(360.0), F.lit(height) / shrink)
+    return F.greatest(F.lit(1), F.floor(360.0 / (F.lit(height) / shrink)))
 
 
 def bucket_of(lat: Column, lon: Column, radius: float, metric: str = "haversine") -> Column:
     """The bucket holding a point, as ``struct(band, slot)``."""
     height = _band_height(radius, metric)
     band = _band(lat, height)
-    slot = F.floor((lon + 180.0) / _band_width(band, height, metric))
+    if metric != "haversine":
+        slot = F.floor((lon + 180.0) / height)
+    else:
+        ring = _ring(band, height, metric)
+        slot = F.pmod(F.floor((lon + 180.0) / (360.0 / ring)), ring)
     return F.struct(band.alias("band"), slot.alias("slot"))
 
 
@@ -116,12 +119,15 @@ def buckets_near(lat: Column, lon: Column, radius: float, metric: str = "haversi
 
     def slots(step: int) -> Column:
         band = _band(lat, height) + step
-        width = _band_width(band, height, metric)
-        first = F.floor((lon - reach + 180.0) / width)
-        last = F.floor((lon + reach + 180.0) / width)
-        return F.transform(
-            F.sequence(first, last), lambda s: F.struct(band.alias("band"), s.alias("slot"))
-        )
+        if metric != "haversine":
+            first, last = (F.floor((lon + d + 180.0) / height) for d in (-reach, reach))
+            every = F.sequence(first, last)
+        else:
+            ring = _ring(band, height, metric)
+            first, last = (F.floor((lon + d + 180.0) / (360.0 / ring)) for d in (-reach, reach))
+            # once around at most
+            every = F.transform(F.sequence(first, F.least(last, first + ring - 1)), lambda s: F.pmod(s, ring))
+        return F.transform(every, lambda s: F.struct(band.alias("band"), s.alias("slot")))
 
     return F.concat(slots(-1), slots(0), slots(1))
 

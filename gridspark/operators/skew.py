@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from gridspark.session import materialize
+
 SPLIT_ROWS = 500_000
-MAX_HOT_KEYS = 100_000
 
 
 def split_hot_keys(big: DataFrame, small: DataFrame, keys: list[str], rows: int = SPLIT_ROWS):
@@ -16,14 +17,13 @@ def split_hot_keys(big: DataFrame, small: DataFrame, keys: list[str], rows: int
     are repeated once per part, so each pair still meets exactly once. All other keys keep the
     single part 0.
 
-    Only the hottest keys are listed, at most ``MAX_HOT_KEYS`` (a few megabytes), which is why the
-    list can be broadcast and neither side is shuffled for it. Splitting never changes the result.
+    All hot keys are listed, in a stored table: Spark sees its size and sends it to the tasks only if it is small.
+    Where there is none, nothing is joined. Splitting never changes the result.
     """
     counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
-    hottest = counts.orderBy(F.col("_n").desc(), *keys).limit(MAX_HOT_KEYS)
-    hot = F.broadcast(
-        hottest.select(*keys, F.ceil(F.col("_n") / rows).cast("int").alias("_parts"))
-    )
+    hot = materialize(counts.select(*keys, F.ceil(F.col("_n") / rows).cast("int").alias("_parts")), "hot-keys")
+    if hot.isEmpty():
+        return big.withColumn("_part", F.lit(0)), small.withColumn("_part", F.lit(0))
     parts = F.coalesce(F.col("_parts"), F.lit(1))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c not in keys]), parts)
     left = big.join(hot, keys, "left").withColumn("_part", spread.cast("int")).drop("_parts")

@@ -35,7 +35,10 @@ def within_radius(
     lat0, lat1, lon0, lon1 = geo.bounding_box(lat, lon, radius, metric)
     y, x = F.col(at[0]), F.col(at[1])
     d = geo.distance(metric, F.lit(float(lat)), F.lit(float(lon)), y, x)
-    near = df.where(y.between(lat0, lat1) & x.between(lon0, lon1))
+    beside = x.between(lon0, lon1)
+    if metric == "haversine" and (lon0 < -180.0 or lon1 > 180.0):  # longitudes are a circle
+        beside = beside | x.between(lon0 + 360.0, lon1 + 360.0) | x.between(lon0 - 360.0, lon1 - 360.0)
+    near = df.where(y.between(lat0, lat1) & beside)
     near = near.where(d < radius if strict else d <= radius)
     return near.withColumn(distance, d) if distance else near
 
@@ -76,7 +79,7 @@ def radius_join(
 
     The ``repeat`` side, which should be the smaller one, has its rows repeated once per bucket in
     reach; the other side keeps one row per point. Its buckets with more than ``split_rows``
-    points are split.
+    points are split. Haversine buckets form a ring, so pairs across 180 degrees are found.
     """
     keys = ["band", "slot"]
     few, few_at, many, many_at = left, left_at, right, right_at
@@ -112,11 +115,13 @@ def radius_aggregate(
     metric: str = "haversine",
     strict: bool = False,
     repeat: str = "left",
+    split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """Aggregates of the points around every distinct site position.
 
     ``measures`` maps a name to ``(kind, column)`` with kind count, sum, min or max. Points are
-    combined per position (and ``by``) before the join, so the join sees positions, not rows.
+    combined per position (and ``by``) before the join, so the join sees positions, not rows. Buckets
+    with many positions are split, and what their parts find is merged like the rest.
     Returns ``site_lat``, ``site_lon``, ``by`` and the measures; positions with nothing in reach
     are absent.
     """
@@ -130,9 +135,13 @@ def radius_aggregate(
         .select(F.col(site_at[0]).alias("site_lat"), F.col(site_at[1]).alias("site_lon"))
         .distinct()
     )
+    if repeat == "right":
+        places = materialize(places, "places")
+    else:
+        partial = materialize(partial, "positions")  # read for the buckets' sizes and for the join
     pairs = radius_join(
         places, partial, radius, ("site_lat", "site_lon"), ("_plat", "_plon"), metric, strict,
-        distance="_d", split_rows=None, repeat=repeat,
+        distance="_d", split_rows=split_rows, repeat=repeat,
     )
     return pairs.groupBy("site_lat", "site_lon", *by).agg(
         *[_MERGE[kind](name).alias(name) for name, (kind, _) in measures.items()]
@@ -226,10 +235,6 @@ def _finest(lat: str, lon: str, i: str, j: str) -> dict[str, Column]:
     }
 
 
-# Without effect: tests set it to run one form or another, and there is one form for every size.
-DIRECT_ROWS = 0
-
-
 def nearest_by_position(
     left: DataFrame,
     right: DataFrame,

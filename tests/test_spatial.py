@@ -63,9 +63,7 @@ def test_radius_join_is_brute_force(spark, metric, radius, lat, split):
 
 @pytest.mark.parametrize("metric", ["haversine", "planar_rad", "planar_deg"])
 @pytest.mark.parametrize("k", [1, 4])
-@pytest.mark.parametrize("direct", [0, 10_000])
-def test_nearest_is_brute_force(spark, monkeypatch, metric, k, direct):
-    monkeypatch.setattr(spatial, "DIRECT_ROWS", direct)
+def test_nearest_is_brute_force(spark, metric, k):
     # far outliers on both sides, repeated positions, a dense cluster
     left = points(60, 3, hot=20) + [(58.9, -6.5), (50.1, 1.7), (-30.0, 140.0)]
     right = points(200, 4, hot=50) + points(100, 5, (54.0, 54.05), (-2.0, -1.95)) + [(57.5, -6.0)]
@@ -95,9 +93,7 @@ def test_nearest_wraps_at_half_a_turn(spark, count, k):
         assert [j for _, j in sorted(got[i])] == [j for _, j in want]
 
 
-@pytest.mark.parametrize("direct", [0, 128])
-def test_nearest_within_equal_keys(spark, monkeypatch, direct):
-    monkeypatch.setattr(spatial, "DIRECT_ROWS", direct)
+def test_nearest_within_equal_keys(spark):
     rng = random.Random(9)
     left = [(g, *p) for g in "ab" for p in points(20, g)]
     right = [(g, i, *p) for g in "ab" for i, p in enumerate(points(30, g + "r"))]
@@ -130,6 +126,32 @@ def test_radius_aggregate_counts_rows_at_hot_positions(spark):
         assert (r["n"], r["top"]) == (len(hits), max(hits))
 
 
+@pytest.mark.parametrize("radius", [30.0, 900.0, 12_000.0])
+def test_radius_join_crosses_half_a_turn(spark, radius):
+    edge = [(0.1, 179.99), (0.1, -179.99), (10.0, 180.0), (10.0, -180.0), (89.9, 10.0), (89.9, -170.0), (-70.0, 179.9)]
+    left = edge + points(20, 20, (-80.0, 80.0), (-180.0, 180.0))
+    right = edge + points(60, 21, (-80.0, 80.0), (-180.0, 180.0)) + points(20, 22, (-1.0, 1.0), (179.0, 180.0))
+    a, b = frames(spark, left, right)
+    for repeat in ("left", "right"):
+        pairs = [(r["lid"], r["rid"]) for r in spatial.radius_join(a, b, radius, L, R, repeat=repeat).collect()]
+        want = {(i, j) for i, p in enumerate(left) for j, q in enumerate(right) if km(p, q, "haversine") <= radius}
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    one = spatial.within_radius(b, 0.1, 179.99, radius, at=R).collect()
+    assert {r["rid"] for r in one} == {j for j, q in enumerate(right) if km((0.1, 179.99), q, "haversine") <= radius}
+
+
+def test_one_hot_bucket_is_aggregated_in_parts(spark):
+    """All points in one bucket: dealt over parts, the same numbers as unsplit."""
+    left, right = points(6, 30, (54.0, 54.001), (-2.0, -1.999)), points(400, 31, (54.0, 54.01), (-2.0, -1.99), hot=30)
+    a, b = frames(spark, left, right)
+    measures = {"n": ("count", F.lit(1)), "low": ("min", F.col("rid")), "sum": ("sum", F.col("rid"))}
+    whole = spatial.radius_aggregate(a, b, 40.0, measures, L, R)
+    parted = spatial.radius_aggregate(a, b, 40.0, measures, L, R, split_rows=25)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parted.collect()))
+    assert "_part" in parted._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["n"] for r in parted.collect()} == {430}
+
+
 def test_a_larger_radius_never_counts_less(spark):
     a, b = frames(spark, points(10, 8), points(200, 9))
     small, large = (
