@@ -158,26 +158,36 @@ def attach_by_position(
 
 
 # --- nearest join ------------------------------------------------------------------------------
-# The right side is put on a pyramid of grids. Every occupied finest cell of the left side starts
+# The right side is put on a pyramid of grids. Every occupied cell of the left side starts
 # with the coarse right cells and refines them level by level; a right cell is dropped once its
 # least possible distance exceeds what another one guarantees. What is left is a handful of
-# candidate cells per left cell, near or far, dense or sparse, and only their points are compared.
-# No radius is guessed, nothing is retried, and every level joins on cell keys.
+# candidate cells per left cell, near or far, dense or sparse. Where two of them still hold too many points to
+# compare all with all, both sides of that left cell are divided further, as often as it takes, so a
+# crowded cell costs about as much per point as any other. No radius is guessed, nothing is
+# retried, and every step joins on cell keys.
 
-_FINEST = 0.01
+_CELL = 0.01
 _FANOUT = 8
 _LEVELS = 3  # 0.01, 0.08, 0.64, 5.12 degrees: the coarsest has at most 36 x 71 cells on Earth
+_CROWDED = 4096  # pairs of points that two cells may have
+_PARTS = 4  # a crowded cell is cut into 4 x 4
+_DEPTHS = 5  # so often at most: about a metre
+_FINE = _PARTS**_DEPTHS
 
 
-def _right_level(cells: DataFrame, level: int, keys: list[str]) -> DataFrame:
-    """Right cells of one grid with their number of points and the key of the cell above."""
-    if level:
+def _pyramid(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Right cells of all grids with their numbers of points and the key of the cell above, stored.
+
+    Spark sees the table's size, and where it is small the left cells need no shuffle per level.
+    """
+    out = None
+    for level in range(_LEVELS + 1):
         f = float(_FANOUT**level)
-        cells = cells.groupBy(
-            *keys, F.floor(F.col("ri") / f).alias("ri"), F.floor(F.col("rj") / f).alias("rj")
-        ).agg(F.sum("n").alias("n"))
+        i, j = F.floor(F.col("ri") / f).alias("ri"), F.floor(F.col("rj") / f).alias("rj")
+        grid = cells.groupBy(*keys, i, j).agg(F.sum("n").alias("n")).withColumn("level", F.lit(level))
+        out = grid if out is None else out.unionByName(grid)
     up = {"pi": F.floor(F.col("ri") / _FANOUT), "pj": F.floor(F.col("rj") / _FANOUT)}
-    return cells.withColumns(up)
+    return materialize(out.withColumns(up), "pyramid")
 
 
 def _box(i: str, j: str, size: float):
@@ -186,11 +196,9 @@ def _box(i: str, j: str, size: float):
     return lat - pad, lat + (size + pad), lon - pad, lon + (size + pad)
 
 
-def _prune(pairs: DataFrame, level: int, metric: str, k: int, keys: list[str]) -> DataFrame:
-    """Drop right cells that cannot hold one of the ``k`` nearest of their left cell."""
-    low, high = geo.box_bounds(
-        metric, _box("li", "lj", _FINEST), _box("ri", "rj", _FINEST * _FANOUT**level)
-    )
+def _prune(pairs: DataFrame, left: float, right: float, metric: str, k: int, keys: list[str]) -> DataFrame:
+    """Drop right cells that cannot hold one of the ``k`` nearest of their left cell; sizes in degrees."""
+    low, high = geo.box_bounds(metric, _box("li", "lj", left), _box("ri", "rj", right))
     scored = pairs.withColumn("_low", low).withColumn("_high", high)
     cell = Window.partitionBy(*keys, "li", "lj")
     if k == 1:
@@ -204,35 +212,82 @@ def _prune(pairs: DataFrame, level: int, metric: str, k: int, keys: list[str]) -
     kept = scored.withColumn("_bound", bound).where(
         F.col("_low") <= F.col("_bound") * (1.0 + 1e-9) + 1e-15
     )
-    return kept.select(*keys, "li", "lj", "ri", "rj")
+    return kept.select(*keys, "li", "lj", "m", "ri", "rj", "n")
 
 
 def _candidate_cells(
     left: DataFrame, right: DataFrame, metric: str, k: int, keys: list[str]
 ) -> DataFrame:
-    """Pairs of finest cells that can hold one of the ``k`` nearest."""
+    """Pairs of cells (with their numbers of points) that can hold one of the ``k`` nearest."""
     # Start: the coarsest right cells (at most 36 x 71, usually a few) for every left cell. Without
-    # keys they travel as one array, so the left cells stay where they are.
-    root = _right_level(right, _LEVELS, keys).select(*keys, "ri", "rj", "n")
-    start = left.select(*keys, "li", "lj")
+    # keys they travel as one array; either way the left cells stay where they are.
+    pyramid = _pyramid(right, keys)
+    root = pyramid.where(F.col("level") == _LEVELS).select(*keys, "ri", "rj", "n")
     if keys:
-        start = start.join(root, keys)
+        start = left.join(root, keys)
     else:
         cells = root.agg(F.collect_list(F.struct("ri", "rj", "n")).alias("r")).scalar()
-        start = start.select("li", "lj", F.inline(cells))
-    front = _prune(start, _LEVELS, metric, k, keys)
+        start = left.select("li", "lj", "m", F.inline(cells))
+    front = _prune(start, _CELL, _CELL * _FANOUT**_LEVELS, metric, k, keys)
     for level in range(_LEVELS - 1, -1, -1):
-        parents = front.withColumnsRenamed({"ri": "pi", "rj": "pj"})
-        pairs = parents.join(_right_level(right, level, keys), [*keys, "pi", "pj"])
-        front = _prune(pairs.drop("pi", "pj"), level, metric, k, keys)
+        parents = front.drop("n").withColumnsRenamed({"ri": "pi", "rj": "pj"})
+        pairs = parents.join(pyramid.where(F.col("level") == level).drop("level"), [*keys, "pi", "pj"])
+        front = _prune(pairs.drop("pi", "pj"), _CELL, _CELL * _FANOUT**level, metric, k, keys)
     return front
 
 
-def _finest(lat: str, lon: str, i: str, j: str) -> dict[str, Column]:
-    return {
-        i: F.floor((F.col(lat) + 90.0) / _FINEST),
-        j: F.floor((F.col(lon) + 180.0) / _FINEST),
-    }
+def _fine(lat: str, lon: str) -> dict[str, Column]:
+    """The smallest cell of a point; all larger ones follow from it."""
+    size = _CELL / _FINE
+    return {"_fi": F.floor((F.col(lat) + 90.0) / size), "_fj": F.floor((F.col(lon) + 180.0) / size)}
+
+
+def _at_depth(points: DataFrame, depth: int, i: str, j: str) -> DataFrame:
+    """``points`` with their cell after so many divisions."""
+    f = float(_PARTS ** (_DEPTHS - depth))
+    return points.withColumns({i: F.floor(F.col("_fi") / f), j: F.floor(F.col("_fj") / f)})
+
+
+def _cells_at(points: DataFrame, depth: int, keys: list[str], i: str, j: str, n: str) -> DataFrame:
+    return _at_depth(points, depth, i, j).groupBy(*keys, i, j).agg(F.count(F.lit(1)).alias(n))
+
+
+def _divided(near: DataFrame, a: DataFrame, b: DataFrame, depth: int, metric: str, k: int, keys: list[str]) -> DataFrame:
+    """Candidates after one more division of both sides."""
+    f = float(_PARTS)
+    left = _cells_at(a, depth, keys, "li", "lj", "m").withColumns(
+        {"_pi": F.floor(F.col("li") / f), "_pj": F.floor(F.col("lj") / f)}
+    )
+    right = _cells_at(b, depth, keys, "ri", "rj", "n").withColumns(
+        {"_qi": F.floor(F.col("ri") / f), "_qj": F.floor(F.col("rj") / f)}
+    )
+    parents = near.select(
+        *keys, F.col("li").alias("_pi"), F.col("lj").alias("_pj"), F.col("ri").alias("_qi"), F.col("rj").alias("_qj")
+    )
+    pairs = parents.join(left, [*keys, "_pi", "_pj"]).join(right, [*keys, "_qi", "_qj"])
+    size = _CELL / _PARTS**depth
+    return _prune(pairs, size, size, metric, k, keys)
+
+
+def _near_points(a: DataFrame, b: DataFrame, metric: str, k: int, keys: list[str]) -> DataFrame:
+    """Pairs of points of all candidate cells, crowded ones divided first."""
+    left = _cells_at(a, 0, keys, "li", "lj", "m")
+    right = _cells_at(b, 0, keys, "ri", "rj", "n")
+    near = materialize(_candidate_cells(left, right, metric, k, keys), "near")
+    out, cell = None, [*keys, "li", "lj"]
+    for depth in range(_DEPTHS + 1):
+        crowded = near.groupBy(*cell).agg(F.max(F.col("m") * F.col("n")).alias("_pairs"))
+        crowded = crowded.where(F.col("_pairs") > _CROWDED)
+        done = depth == _DEPTHS or crowded.isEmpty()
+        ready = near if done else near.join(crowded, cell, "left_anti")
+        x = _at_depth(a, depth, "li", "lj").drop("_fi", "_fj")
+        y = _at_depth(b, depth, "ri", "rj").drop("_fi", "_fj")
+        pairs = x.join(ready.drop("m", "n"), cell).join(y, [*keys, "ri", "rj"]).drop("li", "lj", "ri", "rj")
+        out = pairs if out is None else out.unionByName(pairs)
+        if done:
+            return out
+        rest = near.join(crowded, cell, "left_semi")
+        near = materialize(_divided(rest, a, b, depth + 1, metric, k, keys), "near")
 
 
 def nearest_by_position(
@@ -270,17 +325,13 @@ def nearest_by_position(
         rows = valid.withColumn("_o", F.row_number().over(order)).where(F.col("_o") <= k).drop("_o")
     # Both sides are used on every level and once more for the points. Stored once in the shared
     # folder, whatever lies behind them is computed once.
-    a = materialize(places.withColumns(_finest("site_lat", "site_lon", "li", "lj")), "left")
-    b = materialize(rows.withColumns(_finest(*right_at, "ri", "rj")), "right")
-    count = F.count(F.lit(1)).alias("n")
-    lcells = a.groupBy(*keys, "li", "lj").agg(count)
-    rcells = b.groupBy(*keys, "ri", "rj").agg(count)
-    near = _candidate_cells(lcells, rcells, metric, k, keys)
-    pairs = a.join(near, [*keys, "li", "lj"]).join(b, [*keys, "ri", "rj"])
+    a = materialize(places.withColumns(_fine("site_lat", "site_lon")), "left")
+    b = materialize(rows.withColumns(_fine(*right_at)), "right")
+    pairs = _near_points(a, b, metric, k, keys)
     d = geo.distance(
         metric, F.col("site_lat"), F.col("site_lon"), F.col(right_at[0]), F.col(right_at[1])
     )
-    pairs = pairs.drop("li", "lj", "ri", "rj").withColumn(distance, d)
+    pairs = pairs.withColumn(distance, d)
     order = [F.round(F.col(distance), 9), *[F.col(t) for t in tie]]
     best = Window.partitionBy(*keys, "site_lat", "site_lon").orderBy(*order)
     return pairs.withColumn(rank, F.row_number().over(best)).where(F.col(rank) <= k)

@@ -108,6 +108,36 @@ def test_nearest_within_equal_keys(spark):
         assert r["rid"] == best[1]
 
 
+@pytest.mark.parametrize("metric", ["haversine", "planar_deg"])
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_in_one_crowded_cell(spark, monkeypatch, metric, k):
+    """All points in one cell of 0.01 degrees, some in one square metre: divided, and still exact."""
+    monkeypatch.setattr(spatial, "_CROWDED", 30)
+    rng = random.Random(40)
+    some = lambda n, s: [(54.0 + rng.random() * s, -2.0 + rng.random() * s) for _ in range(n)]
+    left, right = some(150, 0.0099) + some(30, 1e-5), some(150, 0.0099) + some(30, 1e-5) + [(54.5, -2.5)]
+    a, b = frames(spark, left, right)
+    got = defaultdict(list)
+    for r in spatial.nearest_join(a, b, L, R, ["rid"], k=k, metric=metric).collect():
+        if r["rid"] is not None:
+            got[r["lid"]].append((r["distance_km"], r["rid"]))
+    for i, p in enumerate(left):
+        want = sorted((round(km(p, q, metric), 9), j) for j, q in enumerate(right))[:k]
+        mine = sorted((round(d, 9), j) for d, j in got[i])
+        assert [d for d, _ in mine] == pytest.approx([d for d, _ in want], abs=2e-9)
+
+
+def test_a_crowded_cell_compares_few_pairs(spark):
+    """5,000 points against 5,000 in one cell: far from 25 million pairs."""
+    rng = random.Random(41)
+    rows = [(54.0 + rng.random() * 0.0099, -2.0 + rng.random() * 0.0099) for _ in range(10_000)]
+    a, b = frames(spark, rows[:5000], rows[5000:])
+    left = spatial.located(a, L).selectExpr("llat AS site_lat", "llon AS site_lon").withColumns(spatial._fine("site_lat", "site_lon"))
+    right = spatial.located(b, R).withColumns(spatial._fine(*R))
+    pairs = spatial._near_points(left.cache(), right.cache(), "haversine", 1, []).count()
+    assert 5000 <= pairs < 3_000_000
+
+
 def test_nearest_of_nothing(spark):
     a, b = frames(spark, points(3, 12), [])
     got = spatial.nearest_join(a, b, L, R, ["rid"])
