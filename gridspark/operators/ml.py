@@ -15,6 +15,7 @@ from gridspark.functions.coerce import percent, ratio
 from gridspark.operators import boosting
 from gridspark.operators.boosting import BoostedModel
 from gridspark.operators.grid import FEATURES, RISK_LEVELS
+from gridspark.operators.quantiles import quantile_values
 from gridspark.session import materialize
 
 SEED = 42
@@ -423,7 +424,7 @@ def nearest_samples(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) ->
 def smote(
     samples: DataFrame, k: int = 3, seed: int = SEED, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Oversample every minority class to the size of the largest, up to a random share of copies.
+    """Oversample every minority class to exactly the size of the largest.
 
     New points lie between a sample and one of its ``k`` nearest neighbours of the same class
     (:func:`nearest_samples`); equally near ones rank by their features. The points depend on the
@@ -450,9 +451,17 @@ def smote(
         return F.coalesce(*[F.when(F.col("risk_level") == c, F.lit(v)) for c, v in values.items()])
 
     each = per_class({c: n // counts[c] for c, n in need.items()})
-    share = per_class({c: n % counts[c] / counts[c] for c, n in need.items()})
     drawn = points.join(near, _BY_POINT).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("m"))))
-    extra = (chance(F.lit(0), F.col("x"), F.col("_copy")) < share).cast("int")
+    drawing = chance(F.lit(0), F.col("x"), F.col("_copy"))
+    # one more for as many samples as are still missing: those of the least hashes, whose bound is
+    # the exact quantile half-way between two ranks
+    copies = points.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("m"))))
+    bounds = {}
+    for c, n in need.items():
+        more = n % counts[c]
+        at = [(more - 0.5) / (counts[c] - 1)] if more else None
+        bounds[c] = quantile_values(copies.where(F.col("risk_level") == c), drawing, at)[0] if at else -1.0
+    extra = (drawing < per_class(bounds)).cast("int")
     drawn = drawn.withColumn("_times", each + extra).where("_times > 0")
     drawn = drawn.withColumn("_time", F.explode(F.expr("sequence(1, _times)")))
     one = [F.col("x"), F.col("_copy"), F.col("_time")]

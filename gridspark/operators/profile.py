@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
@@ -227,30 +229,54 @@ def independence_test(
     )
 
 
-def independence_p_value(
-    df: DataFrame, rows: str = "month_name", cols: str = "direct_cause_category"
-) -> DataFrame:
-    """The p-value of the same test by Spark's own chi-squared test on indexed fields.
+_TERMS = 2000
 
-    The categories are few, so they are numbered by their sorted position.
+
+def chi_squared_tail(statistic: Column, dof: Column) -> Column:
+    """Chance of a chi-squared value at least this large: the upper incomplete gamma function.
+
+    Below the mean by its power series, above by its continued fraction (with Lentz's products), both
+    as folds over the terms' numbers; the gamma function of half the degrees is a product.
     """
-    from pyspark.ml.stat import ChiSquareTest
-
-    def numbered(name: str) -> Column:
-        values = df.agg(F.sort_array(F.collect_set(name)).alias("v")).scalar()
-        return (F.array_position(values, F.col(name)) - 1).cast("double")
-
-    known = df.where(F.col(rows).isNotNull() & F.col(cols).isNotNull())
-    data = known.select(numbered(rows).alias("x"), numbered(cols).alias("y"))
-    vectors = VectorAssembler(inputCols=["x"], outputCol="features").transform(data)
-    test = ChiSquareTest.test(vectors, "features", "y", flatten=True)
-    return test.select(
-        F.col("pValue").alias("p_value"),
-        F.col("degreesOfFreedom").cast("bigint").alias("dof"),
-        F.col("statistic").alias("chi2"),
-        (F.col("pValue") < 0.05).alias("significant"),
+    a, x = dof / 2.0, statistic / 2.0
+    whole = dof % 2 == 0
+    factors = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(a - 0.5).cast("int")))
+    log_gamma = F.aggregate(
+        F.when(a > 1, factors).otherwise(F.array().cast("array<int>")),
+        F.when(whole, F.lit(0.0)).otherwise(F.lit(math.log(math.pi) / 2)),
+        lambda s, k: s + F.log(F.when(whole, k.cast("double")).otherwise(k - 0.5)),
+    )
+    lead = F.exp(a * F.log(x) - x - log_gamma)
+    terms = F.sequence(F.lit(1), F.lit(_TERMS))
+    series = F.aggregate(
+        terms,
+        F.struct((1.0 / a).alias("t"), (1.0 / a).alias("sum")),
+        lambda s, n: F.struct((s["t"] * x / (a + n)).alias("t"), (s["sum"] + s["t"] * x / (a + n)).alias("sum")),
+        lambda s: s["sum"],
     )
 
+    def fraction(s: Column, n: Column) -> Column:
+        top, base = -n * (n - a), x + 1.0 - a + 2.0 * n
+        d = 1.0 / (top * s["d"] + base)
+        c = base + top / s["c"]
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+
+    first = 1.0 / (x + 1.0 - a)
+    start = F.struct(F.lit(1e300).alias("c"), first.alias("d"), first.alias("h"))
+    rest = F.aggregate(terms, start, fraction, lambda s: s["h"])
+    tail = F.when(x < a + 1.0, 1.0 - lead * series).otherwise(lead * rest)
+    return F.when(x <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail)))
+
+
+def independence_p_value(
+    df: DataFrame, rows: str = "month_name", cols: str = "direct_cause_category"
+) -> DataFrame:
+    """The p-value of the independence test, from its one row of figures; null without degrees of freedom."""
+    test = independence_test(df, rows, cols)
+    dof = F.col("dof")
+    p = F.when(dof > 0, chi_squared_tail(F.col("chi2"), F.greatest(dof, F.lit(1))))
+    return test.select(p.alias("p_value"), dof.cast("bigint").alias("dof"), "chi2", (p < 0.05).alias("significant"))
+
 
 def correlations(df: DataFrame, columns) -> DataFrame:
     """Correlation of every pair of columns (upper triangle), computed in one pass."""

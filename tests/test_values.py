@@ -232,3 +232,26 @@ def test_quantiles_narrow_large_windows_and_survive_a_wrong_sketch(spark, monkey
     monkeypatch.setattr(quantiles, "_window", wrong_at_first)
     check()
     assert len(calls) > 15
+
+
+def test_chi_squared_tail_against_closed_forms(spark):
+    """Even degrees are a Poisson sum, odd ones add to the error function."""
+    import math
+
+    from gridspark.operators.profile import chi_squared_tail
+
+    def tail(chi2, dof):
+        x = chi2 / 2
+        if dof % 2 == 0:
+            return sum(math.exp(-x + k * math.log(x) - math.lgamma(k + 1)) for k in range(dof // 2))
+        steps = range(1, (dof + 1) // 2)
+        return math.erfc(math.sqrt(x)) + sum(math.exp(-x + (k - 0.5) * math.log(x) - math.lgamma(k + 0.5)) for k in steps)
+
+    cases = [(c, d) for d in (1, 2, 3, 9, 10, 55, 110, 999) for c in (0.001, 0.5, d * 0.5, d, d * 1.1 + 2, d * 2 + 10, d * 4 + 40)]
+    df = spark.createDataFrame([(float(c), d) for c, d in cases] + [(0.0, 3)], "c double, d int")
+    got = [r[0] for r in df.select(chi_squared_tail(F.col("c"), F.col("d"))).collect()]
+    assert got[-1] == 1.0
+    for (c, d), p in zip(cases, got):
+        assert p == pytest.approx(tail(c, d), abs=1e-12, rel=1e-9), (c, d)
+    # a fixed value of tables: the 95 % point of ten degrees
+    assert spark.range(1).select(chi_squared_tail(F.lit(18.307038053275146), F.lit(10))).first()[0] == pytest.approx(0.05, abs=1e-9)
