@@ -187,6 +187,33 @@ def h6(d: Domain):
     return report.select("category", "priority", "title", "lat", "lon", "score")
 
 
+@query(
+    "h6_report_of_one_kind",
+    with_(
+        "v2x_top gap_top",
+        """SELECT 'v2x' AS kind, 'Charging Station Placement' AS category, 'Critical' AS priority,
+  'V2X upgrade recommended at near ' || any_name AS title, lat, lon, round(confidence, 4) AS score FROM v2x_top
+UNION ALL SELECT 'chargepoint', 'Chargepoint Placement', 'High', 'New chargepoint recommended at near ' || any_name, lat, lon,
+  round(confidence, 4) FROM gap_top""",
+    ),
+)
+def h6k(d: Domain):
+    """The reports on upgrades alone and on new chargepoints alone."""
+    parts = [
+        recommend.combined_report(d.cells, d.outages, d.sites, kind).withColumn("kind", F.lit(kind))
+        for kind in ("v2x", "chargepoint")
+    ]
+    return parts[0].unionByName(parts[1]).select("kind", "category", "priority", "title", "lat", "lon", "score")
+
+
+@query(
+    "h7_community_list",
+    with_("sites", f"SELECT {_SITE}, site_category FROM sites WHERE {_COMMUNITY}"),
+)
+def h7e(d: Domain):
+    return recommend.community_list(d.sites)
+
+
 @query(
     "h7_highest_risk_cells",
     with_(

@@ -691,6 +691,23 @@ def c8(d: Domain):
     return a.unionByName(b).select("charge_point_location", "site_category", "how")
 
 
+@query(
+    "c8_query_sites",
+    with_(
+        "sites",
+        f"""SELECT *, count(*) OVER () AS match_count FROM (
+  SELECT charge_point_location, site_category, round({hav("54.5", "-2.0", "latitude", "longitude")}, 6) AS distance_km
+  FROM sites WHERE site_category = 'V2X Chargepoint') t
+WHERE distance_km <= 250 ORDER BY round(distance_km, 9), charge_point_location LIMIT 10""",
+    ),
+)
+def c8q(d: Domain):
+    """The ten nearest sites of a category around a point, and how many there are."""
+    results, summary = filters.query_sites(d.sites, "v2x", 54.5, -2.0, 250.0, 10)
+    found = results.withColumn("match_count", summary.select("match_count").scalar())
+    return rounded(found.select("charge_point_location", "site_category", "distance_km", "match_count"))
+
+
 @query(
     "c9_district_match",
     with_(
