@@ -1,16 +1,16 @@
 """Exact top-k inner products by no-random-access aggregation (NRA) over sorted lists.
 
-Every vector component is a list sorted by the component's value. For a query, all lists are read
-in step from their best end; what has been read bounds every vector's score from below (unread
-components count with the list's worst value) and above (with the value the list has been read
-down to). Reading stops when no vector outside the candidates, seen or unseen, can reach the k-th
-best lower bound; the candidates' remaining components then resolve their final scores.
-
-The vectors are dealt over tasks, and each task holds sorted lists of one block at a time. A query
-set is sent in chunks of fixed size, each chunk a pass over all vectors; a task keeps k results per
-query, carries the k-th score from block to block as the bound to beat, and the k best of all tasks
-are kept by a window. Bounds of many queries are computed at once as matrix products of the values
-read so far.
+A block of vectors is a set of lists, one per component, sorted by how far their values spread. All queries read
+the lists in that order; what has been read, and the norms of what has not (Cauchy-Schwarz around the
+block's mean), bound every vector's score from below and above. A vector is out once its upper bound is under
+the k-th best score or lower bound known so far; the components not read yet resolve the final scores of the
+rest. A block whose best possible score is too low for a query is not read for it at all.
+
+The vectors are dealt over tasks. A task orders each batch by nearest pivots, so that blocks are tight, visits
+them best first, keeps k results per query and carries the k-th score from block to block as the bound to
+beat; the k best of all tasks are kept by a window. A query set is sent in chunks of fixed size, each
+chunk a pass over all vectors whose result is stored before the next. Bounds of many queries are computed
+at once as matrix products.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take no part,
 nor do rows without an id; of rows with one id the first vector in order stands; shorter vectors
@@ -31,8 +31,10 @@ from gridspark.session import materialize
 SCALE = 64
 K = 20
 QUERY_CHUNK = 4096
-BLOCK = 4096
-DEPTHS = (1 / 16, 1 / 4, 1 / 2)
+BLOCK = 1024
+PIVOTS = 16  # per batch
+GROUP = 512  # queries whose bounds are in memory together
+READ = (1 / 2, 3 / 4)  # shares of the lists after which outsiders are dropped
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -71,65 +73,102 @@ def _keep_best(old: tuple, new: tuple, k: int) -> tuple:
     return q[rank < k], i[rank < k], s[rank < k]
 
 
-def nra_block(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, k: int):
+class Block:
+    """Vectors with what does not depend on a query: list order, means, norms of the unread parts."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, width: float):
+        self.order = np.argsort(-x.std(0), kind="stable")
+        self.ids, self.whole = ids, x[:, self.order]
+        self.exact = np.float32 if width < 2**23 else np.float64 if width < 2**52 else np.int64
+        self.kind = np.float32 if width < 2**23 else np.float64
+        self.x = self.whole.astype(self.exact)
+        self.mean = self.whole.mean(0)
+        apart = self.whole - self.mean
+        self.cuts = sorted({max(1, int(x.shape[1] * r)) for r in READ} | {x.shape[1]})
+        self.rest = [np.sqrt((apart[:, m:] ** 2).sum(1)).astype(self.kind) for m in self.cuts]
+        self.radius = float(np.sqrt((apart**2).sum(1).max()))
+
+    def best(self, queries: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """What no vector of the block exceeds, per query."""
+        top = queries[:, self.order] @ self.mean + norms * self.radius
+        return top + 1e-9 * np.abs(top) + 1
+
+
+def nra_block(block: Block, queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, k: int):
     """Candidates of one block as (query position, id, score) with every true top-k row among them.
 
-    ``floor``: a score per query that k rows outside this block already reach (-inf: none).
+    ``floor``: a score per query that k rows outside this block already reach (-inf: none). Also returns how
+    many pairs had to be resolved.
     """
-    lists = np.sort(x, 0)  # every component's list, worst value first for positive weights
-    low, high = lists[0], lists[-1]
-    width = float(np.abs(x).max(initial=0)) * float(np.abs(queries).max(initial=0)) * x.shape[1]
-    kind = np.float32 if width < 2**23 else np.float64
-    safe = 0.0 if width < 2**52 else width * 2.0**-40  # room for rounding where values are huge
-    up, down = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
-    bound = floor.copy()
-    pairs = None
-    for depth in DEPTHS:
-        r = min(len(x) - 1, int(len(x) * depth))
-        top, bottom = lists[len(x) - 1 - r], lists[r]  # how far each list has been read
-        high_part, low_part = x >= top, x <= bottom
-        upper = up @ np.where(high_part, x, top).T.astype(kind) + down @ np.where(low_part, x, bottom).T.astype(kind)
-        lower = up @ np.where(high_part, x, low).T.astype(kind) + down @ np.where(low_part, x, high).T.astype(kind)
-        if len(x) > k:
-            # k + 1: one of them may be the query's own row
-            best = np.partition(lower, len(x) - k - 1, 1)[:, len(x) - k - 1] - safe
-            bound = np.maximum(bound, best)
-        pairs = upper + safe >= bound[:, None]
-        if pairs.sum() <= 4 * k * len(queries):
+    q = queries[:, block.order]
+    weights = q.astype(block.exact)
+    bound, begin = floor.copy(), 0
+    score = np.zeros((len(q), len(block.ids)), block.exact)
+    pairs = np.ones(score.shape, bool)
+    pairs[query_ids[:, None] == block.ids[None, :]] = False
+    for m, rest in zip(block.cuts, block.rest):
+        score += weights[:, begin:m] @ block.x[:, begin:m].T  # the lists from begin to m are read
+        begin = m
+        if m == q.shape[1]:
             break
-    q, v = np.nonzero(pairs)
-    keep = query_ids[q] != ids[v]
-    q, v = q[keep], v[keep]
-    score = np.empty(len(q), np.int64)
-    for at in range(0, len(q), 1 << 16):  # resolve: the components not read yet
-        part = slice(at, at + (1 << 16))
-        score[part] = np.einsum("ij,ij->i", queries[q[part]], x[v[part]])
-    return q, ids[v], score
+        middle = (q[:, m:] @ block.mean[m:]).astype(block.kind)
+        reach = np.sqrt((q[:, m:].astype(float) ** 2).sum(1)).astype(block.kind)[:, None] * rest
+        seen = score + middle[:, None]
+        slack = 1 + 1e-5 * float(np.abs(seen).max(initial=0) + reach.max(initial=0))
+        open_ = np.flatnonzero(~np.isfinite(bound))
+        if len(open_) and len(block.ids) > k:
+            # no k rows known yet: the k-th best lower bound; one more may be the query's own row
+            lower = np.where(pairs[open_], seen[open_] - reach[open_], -np.inf)
+            bound[open_] = np.partition(lower, lower.shape[1] - k, 1)[:, lower.shape[1] - k] - slack
+        pairs &= seen + reach + slack >= bound[:, None]
+        if not pairs.any():
+            break
+    resolved = int(pairs.sum())
+    if len(block.ids) > k and resolved:
+        # of one block the k best and their ties are enough
+        low = np.iinfo(np.int64).min if block.exact is np.int64 else -np.inf
+        final = np.where(pairs, score, low)
+        pairs &= final >= np.partition(final, final.shape[1] - k, 1)[:, final.shape[1] - k][:, None]
+    at, v = np.nonzero(pairs)
+    return (at, block.ids[v], score[at, v].astype(np.int64)), resolved
+
+
+def _blocks(x: np.ndarray, ids: np.ndarray, width: float) -> list[Block]:
+    """A batch cut into blocks of near vectors: ordered by the nearest of a few of its own rows."""
+    pivots = x[np.linspace(0, len(x) - 1, PIVOTS).astype(int)].astype(float)
+    near = (x.astype(float) @ pivots.T - (pivots**2).sum(1) / 2).argmax(1)
+    order = np.argsort(near, kind="stable")
+    return [Block(x[o], ids[o], width) for o in (order[i : i + BLOCK] for i in range(0, len(order), BLOCK))]
 
 
 def _pass(shared, k: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = shared.value
-        best = (np.empty(0, np.int64),) * 3
+        norms = np.sqrt((queries.astype(float) ** 2).sum(1))
+        largest = float(np.abs(queries).max(initial=0)) * width
+        best = [(np.empty(0, np.int64),) * 3 for _ in range(0, len(queries), GROUP)]
         for batch in batches:
-            every, matrix = batch.column("vec_id").to_numpy(), _matrix(batch.column("v"), width)
-            for at in range(0, len(every), BLOCK):
-                floor = np.full(len(queries), -np.inf)
-                n = np.bincount(best[0], minlength=len(queries)) if len(best[0]) else np.zeros(len(queries), int)
-                full = np.flatnonzero(n >= k)
-                if len(full):
-                    floor[full] = best[2][np.cumsum(n)[full] - 1]
-                for some in range(0, len(queries), 256):
-                    part = slice(some, some + 256)
-                    q, i, s = nra_block(
-                        matrix[at : at + BLOCK], every[at : at + BLOCK], queries[part], query_ids[part], floor[part], k
-                    )
-                    mine = (best[0] >= some) & (best[0] < some + 256)
-                    merged = _keep_best(tuple(b[mine] for b in best), (q + some, i, s), k)
-                    before, after = best[0] < some, best[0] >= some + 256
-                    best = tuple(np.concatenate([b[before], m, b[after]]) for b, m in zip(best, merged))
+            if not batch.num_rows:
+                continue
+            matrix = _matrix(batch.column("v"), width)
+            size = float(np.abs(matrix).max(initial=0)) * largest
+            blocks = _blocks(matrix, batch.column("vec_id").to_numpy(), size)
+            for g, some in enumerate(range(0, len(queries), GROUP)):
+                part = slice(some, some + GROUP)
+                tops = np.stack([b.best(queries[part], norms[part]) for b in blocks])
+                for b in np.argsort(-tops.max(1), kind="stable").tolist():
+                    floor = np.full(len(query_ids[part]), -np.inf)
+                    n = np.bincount(best[g][0], minlength=len(floor))
+                    full = np.flatnonzero(n >= k)
+                    floor[full] = best[g][2][np.cumsum(n)[full] - 1]
+                    alive = np.flatnonzero(tops[b] >= floor)
+                    if not len(alive):
+                        continue
+                    (at, i, s), _ = nra_block(blocks[b], queries[part][alive], query_ids[part][alive], floor[alive], k)
+                    best[g] = _keep_best(best[g], (alive[at], i, s), k)
+        every = [np.concatenate([b[c] + (g * GROUP if c == 0 else 0) for g, b in enumerate(best)]) for c in range(3)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(query_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "vec_id", "score"]
+            [pa.array(query_ids[every[0]]), pa.array(every[1]), pa.array(every[2])], ["query_id", "vec_id", "score"]
         )
 
     return run
@@ -158,7 +197,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, chunk: int = QUERY
             continue
         v = rows["v"].combine_chunks()
         shared = spark.sparkContext.broadcast((rows["vec_id"].to_numpy(), _matrix(v, width)))
-        parts.append(dealt.mapInArrow(_pass(shared, k, width), RESULT))
+        parts.append(materialize(dealt.mapInArrow(_pass(shared, k, width), RESULT), "topk-best"))
+        shared.destroy()
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
