@@ -134,11 +134,11 @@ def nra_block(block: Block, queries: np.ndarray, query_ids: np.ndarray, floor: n
 
 
 def _blocks(x: np.ndarray, ids: np.ndarray, width: float) -> list[Block]:
-    """A batch cut into blocks of near vectors: ordered by the nearest of a few of its own rows."""
+    """A batch cut into blocks of near vectors: those nearest to one of a few of its own rows."""
     pivots = x[np.linspace(0, len(x) - 1, PIVOTS).astype(int)].astype(float)
     near = (x.astype(float) @ pivots.T - (pivots**2).sum(1) / 2).argmax(1)
-    order = np.argsort(near, kind="stable")
-    return [Block(x[o], ids[o], width) for o in (order[i : i + BLOCK] for i in range(0, len(order), BLOCK))]
+    groups = [np.flatnonzero(near == p) for p in range(len(pivots))]
+    return [Block(x[o], ids[o], width) for g in groups for o in (g[i : i + BLOCK] for i in range(0, len(g), BLOCK))]
 
 
 def _pass(shared, k: int, width: int):
