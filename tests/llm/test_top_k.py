@@ -42,7 +42,7 @@ def test_blocks_against_all_products(groups, spread, most):
     assert resolved <= most * len(q) * len(x)
 
 
-@pytest.mark.parametrize("scale", [1, 1 << 16, 1 << 27])
+@pytest.mark.parametrize("scale", [1, 1 << 16, 1 << 20])  # the last one fills 63 bits
 def test_large_components_stay_exact(spark, scale):
     """Products beyond what floats hold exactly."""
     rng = np.random.default_rng(scale % 97)
