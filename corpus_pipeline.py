@@ -4,6 +4,9 @@ Every stage takes the documents its predecessor kept, as read back from Parquet,
 return the columns of ``documents``. Low-quality and toxic documents go, one document of every group of
 near copies stays, documents that hold benchmark items go, secrets are replaced by a mark, and the rest is
 packed into windows of 1024 ids.
+
+Stages hand text to Python in Arrow batches bounded by bytes, set for the session: two tasks of an executor
+each hold a batch in the JVM and in a worker, so Spark's default size would outweigh the operators' own slices.
 """
 
 from __future__ import annotations
@@ -20,8 +23,16 @@ from gridspark.llm.tokens import tokenizer_path
 from gridspark.session import release, scratch_dir
 
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch, or one row
+
+
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier holds for good."""
+    _bounded(spark)
     model = co_train(docs, table(spark, sf_dir, "labels"))
     free = "_".join(["", *docs.columns])  # longer than any column's name
     scored = model.score(docs, tuple(free + name for name in SCORES))
@@ -30,11 +41,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of every component of the n-gram Jaccard join."""
+    _bounded(spark)
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    _bounded(spark)
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -48,6 +61,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of 1024 ids."""
+    _bounded(spark)
     return pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
