@@ -6,12 +6,17 @@ Containment is the even-odd rule over all rings, so holes need no special case.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridspark.operators.ranking import top_k_per_group
 from gridspark.operators.spatial import LATLON, located
+from gridspark.session import materialize
 
-TILE_DEGREES = 0.25
+SPLIT = 4  # a tile's parts along each axis; tiles of level 0 are 1 / SPLIT degrees wide
+LEVELS = 5  # the finest are 1/1024 of a degree
+TILE_TESTS = 200_000  # positions times edges above which a border tile is split
 
 
 def _edges(rings: Column) -> Column:
@@ -73,43 +78,110 @@ def region_at_point(regions: DataFrame, lat: float, lon: float) -> DataFrame:
     return regions_at_point(regions, lat, lon).orderBy("name").limit(1)
 
 
-def _hits(points: DataFrame, regions: DataFrame, at, region_cols) -> DataFrame:
-    """Positions with the polygon parts containing them (a region once per part).
+def _tile(x: Column, level: int) -> Column:
+    """Tile number of a coordinate; every level's tiles are ``SPLIT`` by ``SPLIT`` in one of the level before."""
+    return F.floor(x * F.lit(float(SPLIT ** (1 + level)))).cast("long")
+
 
-    Positions and bounding boxes meet on fixed tiles, so a position is only tested against the
-    parts whose box reaches into its tile, and only against edges at the tile's latitudes: no
-    other edge can be crossed. Large outlines are thus not repeated whole for every tile.
+def _clipped(tiles: DataFrame, level: int) -> DataFrame:
+    """Tiles (``ti, tj``) of one level with only the edges that decide there, without tiles outside.
+
+    An edge beside the tile's latitudes or west of it is never crossed. One that is east of the tile and spans
+    its latitudes always is: it only flips ``_odd``. If no other edge reaches into the tile, its middle
+    decides for all of it, and it keeps no edge.
     """
+    side = 1.0 / SPLIT ** (1 + level)
+    west, south = F.col("tj") * side, F.col("ti") * side
+    east, north = west + side, south + side
 
-    def tile(x: Column) -> Column:
-        return F.floor(x / TILE_DEGREES)
+    def low(e: Column, axis: str) -> Column:
+        return F.least(e[f"{axis}1"], e[f"{axis}2"])
 
-    lat, lon = F.col("site_lat"), F.col("site_lon")
-    places = (
-        located(points, at)
-        .select(F.col(at[0]).alias("site_lat"), F.col(at[1]).alias("site_lon"))
-        .distinct()
-        .withColumns({"ti": tile(lat), "tj": tile(lon)})
-    )
-    parts = regions.select(*region_cols, F.explode("polygons").alias("_rings"))
-    south = F.col("ti") * TILE_DEGREES
-    near_edges = F.filter(
-        F.col("_edges"),
-        lambda e: (F.least(e["y1"], e["y2"]) <= south + TILE_DEGREES)
-        & (F.greatest(e["y1"], e["y2"]) >= south),
-    )
-    boxed = (
-        with_bounds(parts.withColumn("_one", F.array("_rings")), "_one")
-        .withColumn("_edges", _edges(F.col("_rings")))
-        .drop("_rings", "_one")
-        .withColumn("ti", F.explode(F.sequence(tile(F.col("y0")), tile(F.col("y1")))))
-        .withColumn("_edges", near_edges)
-        .withColumn("tj", F.explode(F.sequence(tile(F.col("x0")), tile(F.col("x1")))))
+    def high(e: Column, axis: str) -> Column:
+        return F.greatest(e[f"{axis}1"], e[f"{axis}2"])
+
+    def always(e: Column) -> Column:
+        return (low(e, "x") > east) & (low(e, "y") <= south) & (high(e, "y") >= north)
+
+    reach = F.filter("_edges", lambda e: (high(e, "y") > south) & (low(e, "y") < north) & (high(e, "x") >= west))
+    middle = _odd_crossings(F.col("_edges"), south + side / 2, west + side / 2) != F.col("_odd")
+    border = F.exists("_edges", lambda e: low(e, "x") <= east)
+    return (
+        tiles.withColumn("_edges", reach)
+        .withColumn("_odd", F.col("_odd") != (F.size(F.filter("_edges", always)) % 2 == 1))
+        .withColumn("_edges", F.filter("_edges", lambda e: ~always(e)))
+        .withColumns({"_border": border, "_middle": middle})
+        .where("_border OR _middle")
+        .withColumn("_edges", F.when(F.col("_border"), F.col("_edges")).otherwise(F.slice("_edges", 1, 0)))
+        .drop("_middle")
     )
-    near = places.join(boxed, ["ti", "tj"]).where(
-        lat.between(F.col("y0"), F.col("y1")) & lon.between(F.col("x0"), F.col("x1"))
+
+
+def cover(places: DataFrame, parts: DataFrame, region_cols=("name",)) -> DataFrame:
+    """Tiles of several levels that cover ``parts`` (``_rings``) where ``places`` lie, stored.
+
+    Inner tiles have no edges and need no test. A border tile is split while positions times edges exceed
+    ``TILE_TESTS``, so dense places and long outlines spread over many small tiles. Tiles without positions go.
+    Columns: ``region_cols``, ``level, ti, tj``, ``_edges``, ``_odd``, ``_border``.
+    """
+    last = LEVELS - 1
+    finest = places.groupBy(_tile(F.col("site_lat"), last).alias("ti"), _tile(F.col("site_lon"), last).alias("tj"))
+    finest = materialize(finest.agg(F.count(F.lit(1)).alias("_places")), "polygon-places")
+
+    def counts(level: int) -> DataFrame:
+        up = SPLIT ** (last - level)
+        keys = [F.floor(F.col(c) / up).cast("long").alias(c) for c in ("ti", "tj")]
+        return finest.groupBy(*keys).agg(F.sum("_places").alias("_places"))
+
+    vertices = F.flatten("_rings")
+    xs, ys = F.transform(vertices, lambda v: v[0]), F.transform(vertices, lambda v: v[1])
+    rows = F.sequence(_tile(F.array_min(ys), 0), _tile(F.array_max(ys), 0))
+    columns = F.sequence(_tile(F.array_min(xs), 0), _tile(F.array_max(xs), 0))
+    tiles = parts.where(F.size(vertices) > 0).select(
+        *region_cols, _edges(F.col("_rings")).alias("_edges"), F.lit(False).alias("_odd"),
+        rows.alias("_rows"), columns.alias("_columns"),
+    )
+    tiles = tiles.withColumn("ti", F.explode("_rows")).drop("_rows")
+    in_band = F.filter(
+        "_edges",
+        lambda e: (F.least(e["y1"], e["y2"]) * SPLIT < F.col("ti") + 1) & (F.greatest(e["y1"], e["y2"]) * SPLIT > F.col("ti")),
     )
-    inside = near.where(_odd_crossings(F.col("_edges"), lat, lon))
+    tiles = tiles.withColumn("_edges", in_band).withColumn("tj", F.explode("_columns")).drop("_columns")
+
+    def inner(c: str) -> Column:
+        return F.sequence(F.col(c) * SPLIT, F.col(c) * SPLIT + SPLIT - 1)
+
+    done = []
+    for level in range(LEVELS):
+        known = _clipped(tiles.join(counts(level), ["ti", "tj"]), level)
+        crowded = F.col("_border") & (F.col("_places") * F.size("_edges") > TILE_TESTS) & F.lit(level < last)
+        known = materialize(known.withColumn("_crowded", crowded), "polygon-tiles")
+        done.append(
+            known.where("NOT _crowded").select(*region_cols, F.lit(level).alias("level"), "ti", "tj", "_edges", "_odd", "_border")
+        )
+        open_tiles = known.where("_crowded")
+        if level == last or not open_tiles.limit(1).count():
+            break
+        tiles = open_tiles.select(
+            *region_cols, "_edges", "_odd", "tj", F.explode(inner("ti")).alias("ti")
+        ).select(*region_cols, "_edges", "_odd", "ti", F.explode(inner("tj")).alias("tj"))
+    return reduce(DataFrame.unionByName, done)
+
+
+def _hits(points: DataFrame, regions: DataFrame, at, region_cols) -> DataFrame:
+    """Positions with the polygon parts containing them (a region once per part).
+
+    Positions meet the tiles of :func:`cover` under their tile of every level; in inner tiles nothing is left
+    to test, in border tiles only the edges that reach into them.
+    """
+    lat, lon = F.col("site_lat"), F.col("site_lon")
+    places = located(points, at).select(F.col(at[0]).cast("double").alias("site_lat"), F.col(at[1]).cast("double").alias("site_lon"))
+    places = materialize(places.where(~F.isnan(lat) & ~F.isnan(lon)).distinct(), "polygon-positions")
+    tiles = cover(places, regions.select(*region_cols, F.explode("polygons").alias("_rings")), region_cols)
+    levels = sorted(r["level"] for r in tiles.select("level").distinct().collect())  # at most LEVELS
+    keys = [F.struct(F.lit(k).alias("level"), _tile(lat, k).alias("ti"), _tile(lon, k).alias("tj")) for k in levels or [0]]
+    near = places.select("site_lat", "site_lon", F.inline(F.array(*keys))).join(tiles, ["level", "ti", "tj"])
+    inside = near.where(F.when(F.col("_border"), _odd_crossings(F.col("_edges"), lat, lon) != F.col("_odd")).otherwise(F.lit(True)))
     return inside.select("site_lat", "site_lon", *region_cols)
 
 

@@ -231,3 +231,69 @@ def test_tagging_takes_the_smallest_name_and_keeps_rows(spark):
     assert (s["processed"], s["valid_coordinates"], s["tagged"], s["untagged"]) == (4, 3, 2, 1)
     with pytest.raises(ValueError):
         polygons.tag_regions(df.drop("latitude"), regions)
+
+
+def star(rng, x, y, size, corners):
+    """A closed outline around (x, y) with uneven corners."""
+    turns = [2 * math.pi * k / corners for k in range(corners)]
+    ring = [[x + size * rng.uniform(0.3, 1) * math.cos(t), y + size * rng.uniform(0.3, 1) * math.sin(t)] for t in turns]
+    return ring + ring[:1]
+
+
+def planted_outlines():
+    rng = random.Random(5)
+    box = [[-3.0, 54.0], [-1.0, 54.0], [-1.0, 55.0], [-3.0, 55.0]]  # edges on the borders of tiles
+    hole = [[-2.5, 54.25], [-1.5, 54.25], [-1.5, 54.75], [-2.5, 54.75]]
+    out = [("box", [[box, hole]]), ("two", [[star(rng, -3.5, 53.5, 0.4, 30)], [star(rng, 2.0, 50.0, 0.3, 7)]])]
+    out += [(f"star{k}", [[star(rng, -2.5, 54.5, 1.6, 40 + 300 * k)]]) for k in range(3)]
+    return out + [("none", []), ("empty", [[[]]])]
+
+
+REGION_SCHEMA = "name string, polygons array<array<array<array<double>>>>"
+
+
+@pytest.mark.parametrize("tests", [1, 400, 10**9])
+def test_polygon_tiles_give_what_whole_outlines_give(spark, monkeypatch, tests):
+    monkeypatch.setattr(polygons, "TILE_TESTS", tests)
+    rng = random.Random(11)
+    regions = spark.createDataFrame(planted_outlines(), REGION_SCHEMA)
+    rows = [(rng.uniform(52.5, 56.5), rng.uniform(-4.5, -0.5)) for _ in range(400)]
+    rows += [(54.5 + rng.uniform(-1, 1) / 500, -2.9 + rng.uniform(-1, 1) / 500) for _ in range(400)]  # one dense place
+    rows += [(rng.uniform(49.6, 50.4), rng.uniform(1.6, 2.4)) for _ in range(60)]
+    rows += [rows[0], (None, 1.0), (float("nan"), -2.0), (float("inf"), 0.0)]
+    df = spark.createDataFrame(rows, "latitude double, longitude double")
+    got = {tuple(r) for r in polygons.polygon_pairs(df, regions).collect()}
+    whole = df.where("latitude < 90").distinct().crossJoin(regions)
+    whole = whole.where(polygons.contains_point(F.col("polygons"), F.col("latitude"), F.col("longitude")))
+    expected = {tuple(r) for r in whole.select("latitude", "longitude", "name").collect()}
+    assert got == expected and len({name for *_, name in expected}) == 5
+
+
+def test_inner_tiles_keep_no_edges_and_dense_ones_are_split(spark, monkeypatch):
+    monkeypatch.setattr(polygons, "TILE_TESTS", 300)
+    rng = random.Random(3)
+    parts = spark.createDataFrame([("s", star(rng, -2.5, 54.5, 1.9, 200))], "name string, ring array<array<double>>")
+    parts = parts.select("name", F.array("ring").alias("_rings"))
+    rows = [(54.5 + rng.uniform(-1.5, 1.5), -2.5 + rng.uniform(-1.5, 1.5)) for _ in range(3000)]
+    places = spark.createDataFrame(rows, "site_lat double, site_lon double")
+    tiles = polygons.cover(places, parts).withColumn("edges", F.size("_edges")).collect()
+    assert all(t["edges"] == 0 for t in tiles if not t["_border"])
+    assert max(t["level"] for t in tiles) > 0 and any(not t["_border"] for t in tiles)
+    # far fewer edge tests than positions times edges
+    width = {t: 1.0 / polygons.SPLIT ** (1 + t) for t in range(polygons.LEVELS)}
+    tested = 0
+    for t in tiles:
+        w = width[t["level"]]
+        inside = [p for p in rows if math.floor(p[0] / w) == t["ti"] and math.floor(p[1] / w) == t["tj"]]
+        tested += len(inside) * t["edges"]
+        assert not t["_border"] or len(inside) * t["edges"] <= 300 or t["level"] == polygons.LEVELS - 1
+    assert tested < 3000 * 200 / 20
+
+
+def test_polygons_without_points_or_regions(spark):
+    none = spark.createDataFrame([], "latitude double, longitude double")
+    regions = spark.createDataFrame(planted_outlines(), REGION_SCHEMA)
+    assert polygons.polygon_pairs(none, regions).count() == 0
+    one = spark.createDataFrame([(54.1, -2.0)], "latitude double, longitude double")
+    assert polygons.polygon_pairs(one, regions.limit(0)).count() == 0
+    assert polygons.tag_regions(one, regions.limit(0)).collect()[0]["region"] is None
