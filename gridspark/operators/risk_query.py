@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridspark.functions.coerce import percent
+from gridspark.functions.coerce import correlation, percent
 from gridspark.operators.filters import by_name, visible_risk_cells
 from gridspark.operators.ranking import top_k
 from gridspark.operators.spatial import (
@@ -141,7 +141,7 @@ def model_agreement(first: DataFrame, second: DataFrame) -> DataFrame:
         n.alias("common_cells"),
         same.alias("same_level"),
         percent(same, n).alias("agreement_pct"),
-        F.corr("a_c", "b_c").alias("confidence_corr"),
+        correlation(F.col("a_c"), F.col("b_c")).alias("confidence_corr"),
         *stats,
     )
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridspark.functions import outage as out
-from gridspark.operators import cleaning, filters, profile, site_risk, textsearch, timelines
+from gridspark.operators import cleaning, filters, profile, risk_query, site_risk, textsearch, timelines
 from gridspark.operators.quantiles import exact_quantiles, quantile_values
 
 
@@ -255,3 +255,25 @@ def test_chi_squared_tail_against_closed_forms(spark):
         assert p == pytest.approx(tail(c, d), abs=1e-12, rel=1e-9), (c, d)
     # a fixed value of tables: the 95 % point of ten degrees
     assert spark.range(1).select(chi_squared_tail(F.lit(18.307038053275146), F.lit(10))).first()[0] == pytest.approx(0.05, abs=1e-9)
+
+
+def test_correlations_of_a_column_that_does_not_vary(spark):
+    rows = [(1.0, 0.1, 2.0, None), (2.0, 0.1, 4.5, 1.0), (4.0, 0.1, 5.0, None), (3.0, 0.1, None, None)]
+    df = spark.createDataFrame(rows, "a double, flat double, b double, one double").repartition(4)
+    got = {(r[0], r[1]): r[2] for r in profile.correlation_pairs(df, ["a", "flat", "b", "one"]).collect()}
+    x, y = [1.0, 2.0, 4.0], [2.0, 4.5, 5.0]  # the rows with both
+    mx, my = sum(x) / 3, sum(y) / 3
+    cov = sum((p - mx) * (q - my) for p, q in zip(x, y))
+    want = cov / (sum((p - mx) ** 2 for p in x) * sum((q - my) ** 2 for q in y)) ** 0.5
+    assert got["a", "b"] == pytest.approx(want, abs=1e-12)
+    assert all(v != v for k, v in got.items() if "flat" in k and "one" not in k)
+    assert all(v is None for k, v in got.items() if "one" in k)
+
+
+def test_agreement_with_a_model_of_one_confidence(spark):
+    cells = "ci long, cj long, risk_level string, confidence double"
+    a = spark.createDataFrame([(1, 1, "Low", 0.4), (1, 2, "Low", 0.7)], cells)
+    b = spark.createDataFrame([(1, 1, "Low", 0.6), (1, 2, "High", 0.6)], cells)
+    got = risk_query.model_agreement(a, b).first()
+    assert (got["common_cells"], got["same_level"]) == (2, 1)
+    assert got["confidence_corr"] != got["confidence_corr"]
