@@ -77,16 +77,18 @@ def new_incidents(current: DataFrame, known: DataFrame) -> DataFrame:
     return with_id.join(known.select("incident_num"), "incident_num", "left_anti")
 
 
-def next_known(current: DataFrame, known: DataFrame) -> DataFrame:
+def next_known(current: DataFrame, known: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
     """The known numbers after a check (actions on one feed snapshot).
 
+    ``fresh`` are its new incidents, if they are at hand.
+
     An empty feed clears them. They are replaced by the current numbers only when something new
     was reported; otherwise they stay as they are.
     """
     ids = current.where(F.col("incident_num").isNotNull()).select("incident_num").distinct()
     if current.isEmpty():
         return ids
-    if new_incidents(current, known).isEmpty():
+    if (fresh if fresh is not None else new_incidents(current, known)).isEmpty():
         return known.select("incident_num")
     return ids
 

@@ -15,6 +15,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from gridspark.operators.incremental import new_incidents, next_known
 from gridspark.operators.ranking import keep_first
+from gridspark.session import materialize, release
 
 
 def _state_before(spark: SparkSession, folder: str, batch: int, schema: str | StructType):
@@ -39,10 +40,12 @@ def watch_incidents(
 
     def handle(batch: DataFrame, number: int) -> None:
         known = _state_before(spark, state_dir, number, "incident_num string")
-        fresh = new_incidents(batch, known)
+        # compared with the state once: what is new is stored, and decides on the next state
+        fresh = materialize(new_incidents(batch, known), "fresh")
         report = enrich(fresh) if enrich else fresh
         report.write.mode("overwrite").parquet(f"{output_dir}/batch={number}")
-        next_known(batch, known).write.mode("overwrite").parquet(f"{state_dir}/batch={number}")
+        next_known(batch, known, fresh).write.mode("overwrite").parquet(f"{state_dir}/batch={number}")
+        release(fresh)
 
     return handle
 

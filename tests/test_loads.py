@@ -1,11 +1,13 @@
 """Sources, incremental loads and streams."""
 
 import json
-from datetime import datetime
+from datetime import date, datetime
+from types import SimpleNamespace
 
 import pytest
 
 from gridspark.operators import incremental
+from gridspark.registry import places
 from gridspark.sources import geojson, incidents, outages, tables
 from gridspark.streaming import incidents as stream
 
@@ -205,3 +207,21 @@ def test_incidents_without_position_keep_their_row(spark):
     assert got["b"]["risk_level"] is None and got["b"]["history_count"] is None
 
 
+
+
+def test_incident_stream_query_reads_the_events_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    feeds = [[], ["a", "b"], ["a"], ["b", "c"], ["c", "a"], ["a", "c"]]
+    rows = [(date(2024, 1, 1 + i) if i else None, x, float(i)) for i, ids in enumerate(feeds) for x in ids or ["lost"]]
+    made = spark.createDataFrame(rows, "snapshot date, incident_num string, value double")
+    domain = SimpleNamespace(spark=spark, incidents=made.mapInArrow(counted, made.schema))
+    got = places.i3s(domain).collect()
+    want = [(x, f"2024-01-0{1 + i}") for i, ids in enumerate(reported(feeds)) for x in ids]
+    assert sorted((r["incident_num"], r["day"]) for r in got) == sorted(want)
+    assert seen.value == len(rows)
