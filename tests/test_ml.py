@@ -1,6 +1,8 @@
 """Models: quality floor, zero-division rules, oversampling, folds."""
 
 import random
+import threading
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,3 +214,26 @@ def test_walk_forward_trains_on_the_past(samples):
 
 def test_all_ten_configurations_are_there():
     assert len({c.name for c in ml.CONFIGS}) == 10
+
+
+def test_fits_share_the_cores(samples, monkeypatch):
+    """A forest and a boosted fit are under way at the same time; each model meets its own fold."""
+    both = threading.Barrier(2, timeout=30)
+    train, train_boosted = ml.train, ml.train_boosted
+
+    def met(fit):
+        def run(*args):
+            both.wait()
+            return fit(*args)
+
+        return run
+
+    monkeypatch.setattr(training.ml, "train", met(train))
+    monkeypatch.setattr(training.ml, "train_boosted", met(train_boosted))
+    small = (replace(ml.FOREST, trees=2, depth=3), replace(ml.BOOSTED, trees=2, depth=3))
+    rounds = training.walk_forward(samples, small, folds=2).collect()
+    assert [(r["config"], r["fold"]) for r in rounds] == [(c.name, 1) for c in small]
+    data = grid.with_folds(samples, 2)
+    past, after = data.where("fold = 1"), data.where("fold = 2")
+    model = train_boosted({"x": (past, small[1])})["x"]
+    assert rounds[1]["recall_macro"] == pytest.approx(ml.evaluate(ml.predict(model, after)).first()["recall_macro"])
