@@ -1,9 +1,10 @@
 """Whole texts to token ids with the ``tokenizers`` library, each distinct piece encoded once.
 
 Texts are cut where the tokenizer cuts anyway (at blanks), the pieces of a batch are dictionary
-encoded by Arrow, and only pieces not met before by this worker go to the library. The result equals
-encoding the whole text; texts holding a special token's string, or white space other than ASCII's,
-go to the library whole.
+encoded by Arrow, and only pieces not met before by this worker go to the library. Most are words of
+letters only; the library gets ``JOINED`` of them as one text, and their ids are told apart by the tokens
+that open a word (byte level) or end one. The result equals encoding the whole text; texts holding a
+special token's string, or white space other than ASCII's, go to the library whole.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 from string import ascii_letters
 
 import numpy as np
@@ -20,7 +21,9 @@ import pyarrow as pa
 from gridspark.llm.common import ASCII_SPACE, byte_class, text_bytes
 
 MEMO_PIECES = 400_000
+JOINED = 100  # words in one call; a text of some hundred ids takes the library least time a word
 _MARK, _LETTER = byte_class(b".,;:!?|%*#$&"), byte_class(ascii_letters.encode())
+_BLANKS = " \t\n\x0b\x0c\r"
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
 
@@ -43,6 +46,9 @@ class PieceEncoder:
             self.tokenizer.encode_special_tokens, self.special = True, []
         # A tokenizer with a normaliser here drops blanks; the byte-level one keeps them.
         self.keeps_blanks = self.tokenizer.normalizer is None
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that open or end a word
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if self.keeps_blanks else t.endswith("</w>"))]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -51,21 +57,56 @@ class PieceEncoder:
         self.starts = np.zeros(MEMO_PIECES + 2, np.int32)
         self.used = 0
 
+    def _is_word(self, piece: str) -> bool:
+        """Whether it is one word of letters to the tokenizer; at byte level a space opens it."""
+        return piece[0] == " " and piece[1:].isalpha() if self.keeps_blanks else piece.rstrip(_BLANKS).isalpha()
+
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum())), lengths
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and how many each has."""
+        groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        texts = [("" if self.keeps_blanks else " ").join(group) for group in groups]
+        parts = []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            bounds = np.flatnonzero(self.edge[ids])
+            bounds = np.append(bounds, len(ids)) if self.keeps_blanks else np.append(0, bounds + 1)
+            # Every word has an opening (ending) token, so as many as words means one each.
+            whole = len(bounds) == len(group) + 1 and bounds[0] == 0 and bounds[-1] == len(ids)
+            parts.append((ids, np.diff(bounds)) if whole else self._each(group))
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
     def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 20_000):
-            some = pieces[at : at + 20_000]
-            lists = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-            ids = np.fromiter(chain.from_iterable(lists), np.uint32, int(lengths.sum()))
-            k = len(self.known)
-            self.known.update(zip(some, range(k, k + len(some))))
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), np.uint32)])
-            if k + len(some) + 1 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros(max(len(self.starts), len(some)), np.int32)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.starts[k + 1 : k + len(some) + 1] = self.used + np.cumsum(lengths)
-            self.used += len(ids)
+        words, others, is_word = [], [], self._is_word
+        for piece in pieces:
+            (words if is_word(piece) else others).append(piece)
+        for encode, kind in ((self._joined, words), (self._each, others)):
+            for at in range(0, len(kind), 20_000):
+                some = kind[at : at + 20_000]
+                self._keep(some, *encode(some))
+
+    def _keep(self, some: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        k = len(self.known)
+        self.known.update(zip(some, range(k, k + len(some))))
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), np.uint32)])
+        if k + len(some) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(max(len(self.starts), len(some)), np.int32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[k + 1 : k + len(some) + 1] = self.used + np.cumsum(lengths)
+        self.used += len(ids)
+
+    def _ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the kept pieces at these numbers, one after another, and how many each has."""
+        first, length = self.starts[at], np.diff(self.starts)[at]
+        ends = np.cumsum(length, dtype=np.int64)
+        where = np.repeat((first - ends + length).astype(np.int32), length)
+        where += np.arange(len(where), dtype=np.int32)
+        return self.ids[where], length
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         blank = ASCII_SPACE[data]
@@ -101,19 +142,20 @@ class PieceEncoder:
             len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))
         ).dictionary_encode()
         index = pieces.indices.to_numpy()
-        words = pieces.dictionary.to_pylist()
-        known = self.known
-        new = [w for w in words if w not in known]
-        if new and len(known) + len(new) > MEMO_PIECES:
+        words = pieces.dictionary.to_numpy(zero_copy_only=False)  # of str; to_pylist takes ten times as long
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int32, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new) and len(self.known) + len(new) > MEMO_PIECES:
+            held = np.flatnonzero(at >= 0)
+            ids, lengths = self._ids_of(at[held])
             self._forget()
-            known, new = self.known, words
-        self._learn(new)
-        at = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-        first, length = self.starts[at][index], np.diff(self.starts)[at][index]
+            self._keep(words[held].tolist(), ids, lengths)
+            at[held] = np.arange(len(held))
+        learnt = words[new].tolist()
+        self._learn(learnt)
+        at[new] = np.fromiter(map(self.known.__getitem__, learnt), np.int32, len(learnt))
+        out, length = self._ids_of(at[index])
         ends = np.cumsum(length, dtype=np.int64)
-        where = np.repeat((first - ends + length).astype(np.int32), length)
-        where += np.arange(len(where), dtype=np.int32)
-        out = self.ids[where]
         begin = np.concatenate([[0], ends])[np.searchsorted(cuts, offsets)]
         return self._whole(column, out, begin)
 
