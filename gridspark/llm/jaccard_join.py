@@ -205,6 +205,8 @@ def _list_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _short_list_candidates(postings: DataFrame) -> DataFrame:
     lists = (
         postings.where("short")
+        .select("h", "node", "n", "place")
+        .repartition("h")  # most lists have one member, so lists begun before the shuffle would only widen its rows
         .groupBy("h")
         .agg(F.collect_list(F.struct("node", "n", "place")).alias("members"))
         .where("size(members) > 1")
@@ -222,9 +224,10 @@ def _short_list_candidates(postings: DataFrame) -> DataFrame:
 
 
 def _texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """A text of every wanted node (doc_id, node): fixed-size filters at the scan, then an exact join.
+    """One text of every wanted node (doc_id, node): fixed-size filters at the scan, then an exact join.
 
-    Several rows may have one id or none, so a row counts only if its own set is the node's.
+    Any row whose own set is the node's will do; the filter of ids only keeps other copies out of the shuffle,
+    which deals texts by node alone, so that join and choice share it.
     """
     id_bits, node_bits = bit_filter(wanted.where("doc_id IS NOT NULL"), "doc_id"), bit_filter(wanted, "node")
 
@@ -235,13 +238,12 @@ def _texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             keep = in_filter(ids, pc.fill_null(doc_id, 0).to_numpy()) | doc_id.is_null().to_numpy(zero_copy_only=False)
             for part in _slices([batch.filter(pa.array(keep))], "text"):
                 keys, _ = set_keys(part.column("text"))
-                part = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys), part.column("text")], ["_id", "_node", "text"])
+                part = pa.RecordBatch.from_arrays([pa.array(keys), part.column("text")], ["node", "text"])
                 yield part.filter(pa.array(in_filter(nodes, keys)))
 
     rows = documents.where("text IS NOT NULL").select("doc_id", "text")
-    rows = rows.mapInArrow(run, "_id long, _node long, text string")
-    on = (rows["_node"] == wanted["node"]) & rows["_id"].eqNullSafe(wanted["doc_id"])
-    return rows.join(wanted, on).select("node", "text")
+    rows = rows.mapInArrow(run, "node long, text string")
+    return rows.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _sets_of(batch: pa.RecordBatch, node: str, text: str) -> list[np.ndarray]:
@@ -389,7 +391,7 @@ def linked_nodes(documents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
     wanted = materialize(
         nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(mates, "node"), "join-wanted"
     )
-    texts = materialize(_texts_of(documents, wanted).dropDuplicates(["node"]), "join-texts")
+    texts = materialize(_texts_of(documents, wanted), "join-texts")
 
     tested = materialize(verified(pairs, texts), "join-tested")
     edges = materialize(tested.where("linked").select("a", "b"), "join-links")
