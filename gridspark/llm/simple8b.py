@@ -32,7 +32,7 @@ from gridspark.session import scratch_dir
 END_ID = 2
 BLOCK_IDS = 1 << 16
 INDEX_WORDS = 256
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 22
 # Fixed values of the format: ids per word and bits per id, by selector; 15 is the escape.
 COUNTS = np.array([240, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
 BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
@@ -84,7 +84,7 @@ def _word_starts(step: np.ndarray, stride: int = 8) -> np.ndarray:
     jumps = [np.append(np.minimum(np.arange(n, dtype=np.int32) + step, n), np.int32(n))]
     while 1 << len(jumps) <= stride:
         jumps.append(jumps[-1][jumps[-1]])
-    far, at, anchors = jumps.pop().tolist(), 0, []
+    far, at, anchors = memoryview(jumps.pop()), 0, []  # few are read; a list of all takes longer
     while at < n:
         anchors.append(at)
         at = far[at]

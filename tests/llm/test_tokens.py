@@ -57,3 +57,21 @@ def test_words_that_the_library_splits_are_encoded_one_by_one():
     lists = [e.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
     assert lengths.tolist() == [len(x) for x in lists]
     assert np.array_equal(ids, np.concatenate(lists))
+
+
+def test_words_of_latin_letters_skip_the_steps_before_the_model():
+    e = tokens.PieceEncoder(tokens.tokenizer_path("word_bpe_49k.json"))
+    library = e.tokenizer
+    e.tokenizer = Counted(library)
+    words = ["Word", "WORD", "word", "éÀñ", "Straße", "ÿÞþ", "aæØ", "x", "É", "naïve"] + [f"{a}{b}t" for a in "aeÉü" for b in "rstÖ"]
+    for blanks in (" ", "\n", " \t\r\n\x0b\x0c "):
+        text = blanks.join(words) + blanks
+        ids, _ = e.encode(pa.array([text]))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert e.tokenizer.texts == 0
+    # A letter before a combining mark, beyond Latin-1 or with a mark of its own takes every step.
+    for text in ("J\u030c j\u030c A\u030a", "ĳ ŉ Ā ſ ª º µ", "don't don'T a×b a÷b x's"):
+        ids, _ = e.encode(pa.array([text]))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert e.tokenizer.texts > 0
+    assert tokens.PieceEncoder(tokens.tokenizer_path("byte_bpe_50k.json")).short_ways == []
