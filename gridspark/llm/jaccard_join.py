@@ -60,16 +60,27 @@ def prefix_length(n):
     return n - (-(-3 * n // 4)) + 1
 
 
-def set_keys(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """A 64-bit key of every text's shingle set, and the sets (sorted)."""
+def _flat_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit key of every text's shingle set, all sets (sorted) one after another, and where each begins."""
     words, first, _ = word_hashes(*text_bytes(column))
     shingles, begin = shingle_hashes(words, first, SHINGLE)
-    sets = [np.unique(shingles[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
-    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    bounds = begin.tolist()
+    for a, b in zip(bounds, bounds[1:]):
+        shingles[a:b].sort()
+    once = np.ones(len(shingles), bool)
+    once[1:] = shingles[1:] != shingles[:-1]
+    once[begin[:-1][begin[:-1] < len(shingles)]] = True  # an equal neighbour in another text doesn't count
+    flat, at = shingles[once], np.concatenate([[0], np.cumsum(once)])[begin]
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(flat ^ np.uint64(0xA5A5A5A5)))])
     keys = mix((sums[at[1:]] - sums[at[:-1]]) + np.diff(at).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return keys.view(np.int64), sets
+    return keys.view(np.int64), flat, at
+
+
+def set_keys(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A 64-bit key of every text's shingle set, and the sets (sorted)."""
+    keys, flat, at = _flat_sets(column)
+    bounds = at.tolist()
+    return keys, [flat[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def _parts(batches: Iterator[pa.RecordBatch], text: str, rows: int) -> Iterator[pa.RecordBatch]:
@@ -86,19 +97,25 @@ def _slices(batches: Iterator[pa.RecordBatch], *texts: str, rows: int = 1024) ->
         yield from parts
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nodes(batches: Iterator[pa.RecordBatch], small: bool = False) -> Iterator[pa.RecordBatch]:
+    """Node and set size of every document; ``small`` adds the shingles of sets that may be light, else null."""
     for batch in _slices(batches, "text"):
-        keys, sets = set_keys(batch.column("text"))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(keys), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "node", "n"]
-        )
+        keys, flat, at = _flat_sets(batch.column("text"))
+        n = np.diff(at)
+        columns, names = [batch.column("doc_id"), pa.array(keys), pa.array(n, pa.int64())], ["doc_id", "node", "n"]
+        if small:
+            held = (n > 0) & (n <= LARGEST_LIGHT)
+            begin = np.concatenate([[0], np.cumsum(np.where(held, n, 0))]).astype(np.int32)
+            members = pa.array(flat[np.repeat(held, n)].view(np.int64))
+            columns.append(pa.ListArray.from_arrays(pa.array(begin), members, mask=pa.array(~held)))
+            names.append("small")
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def _small_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every set's shingles in the counted part of the hash range."""
     for batch in _slices(batches, "text"):
-        _, sets = set_keys(batch.column("text"))
-        flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        _, flat, _ = _flat_sets(batch.column("text"))
         yield pa.RecordBatch.from_arrays([pa.array(flat[flat < _LIMIT].view(np.int64))], ["h"])
 
 
@@ -112,42 +129,40 @@ def _postings(bits: bytes, light: int):
         frequent_bits = np.frombuffer(bits, np.uint8)
         smallest = -(-3 * (light + 1) // 4)  # a smaller set can't link with a heavy one
         for batch in _slices(batches, "text"):
-            keys, sets = set_keys(batch.column("text"))
-            parts = []
-            for key, s in zip(keys.tolist(), sets):
-                n = len(s)
-                if n == 0 or n < smallest:
-                    continue
-                frequent = in_filter(frequent_bits, s)
-                length = prefix_length(n)
-                plain = s[~frequent][:length]
-                if len(plain) < length:
-                    plain = np.concatenate([plain, s[frequent][: length - len(plain)]])
-                    short = (plain < _LIMIT) & (np.arange(length) < n - frequent.sum())
-                else:
-                    short = plain < _LIMIT
-                parts.append((plain, np.full(length, key), np.full(length, n, np.int32), np.arange(length, dtype=np.int32), short))
-            if parts:
-                h, key, n, place, short = (np.concatenate(x) for x in zip(*parts))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(key), pa.array(n), pa.array(place), pa.array(short)],
-                    ["h", "node", "n", "place", "short"],
-                )
+            keys, flat, at = _flat_sets(batch.column("text"))
+            n = np.diff(at)
+            frequent = in_filter(frequent_bits, flat)
+            plain = np.concatenate([[0], np.cumsum(~frequent)])  # infrequent shingles before each one
+            mine = plain[:-1] - np.repeat(plain[at[:-1]], n)  # those of its own set
+            in_set = np.arange(len(flat)) - np.repeat(at[:-1], n)
+            place = np.where(frequent, np.repeat(np.diff(plain[at]), n) + in_set - mine, mine)
+            length = np.where(n >= smallest, prefix_length(n), 0)
+            listed = place < np.repeat(length, n)
+            h = flat[listed]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(h.view(np.int64)),
+                    pa.array(np.repeat(keys, n)[listed]),
+                    pa.array(np.repeat(n, n)[listed].astype(np.int32)),
+                    pa.array(place[listed].astype(np.int32)),
+                    pa.array((h < _LIMIT) & ~frequent[listed]),
+                ],
+                ["h", "node", "n", "place", "short"],
+            )
 
     return run
 
 
 def _subsets(light: int):
-    """Subsets of light sets under which linked light sets meet: (subset hash, node, has the smaller size)."""
+    """Subsets of light sets (node, small) under which linked ones meet: (subset hash, node, has the smaller size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches, "text"):
-            keys, sets = set_keys(batch.column("text"))
+        for batch in _slices(batches):
+            rows = batch.column("small")
+            members, at = rows.flatten().to_numpy().view(np.uint64), np.cumsum(pc.list_value_length(rows).to_numpy())
             out, nodes, smaller = [], [], []
-            for key, s in zip(keys.tolist(), sets):
+            for key, s in zip(batch.column("node").to_pylist(), np.split(members, at[:-1])):
                 n = len(s)
-                if not 0 < n <= light:
-                    continue
                 for other in range(-(-3 * n // 4), min(light, 4 * n // 3) + 1):
                     c = needed(n, other)
                     if c > min(n, other):
@@ -357,7 +372,10 @@ def _links_in_blocks(rest: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def linked_nodes(documents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between nodes and the component labels, over all documents."""
+    """Links (a, b) between nodes and the component labels, over all documents.
+
+    ``nodes``: of :func:`_nodes` with ``small``, so that light sets need no further pass over the texts.
+    """
     texts_in = documents.select("text").where("text IS NOT NULL")
     sizes = {r["n"]: r["k"] for r in nodes.where(F.col("n").between(1, LARGEST_LIGHT)).groupBy("n").agg(F.count_distinct("node").alias("k")).collect()}
     light = light_boundary(sizes)
@@ -365,7 +383,9 @@ def linked_nodes(documents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
     bits = bit_filter(materialize(counted.where(F.col("k") > FREQUENT).select("h"), "join-frequent"), "h")
     postings = materialize(texts_in.mapInArrow(_postings(bits, light), _LISTED), "join-postings")
 
-    subsets = texts_in.mapInArrow(_subsets(light), "h long, node long, low boolean")
+    light_sets = nodes.where(F.col("n").between(1, light)).groupBy("node").agg(F.first("small").alias("small"))
+    light_sets = materialize(light_sets, "join-light")  # copies are one set
+    subsets = light_sets.mapInArrow(_subsets(light), "h long, node long, low boolean")
     hubs = subsets.groupBy("h").agg(
         F.min(F.when(F.col("low"), F.col("node"))).alias("hub"), F.min("node").alias("a"), F.max("node").alias("z")
     )
@@ -383,7 +403,7 @@ def linked_nodes(documents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
     )
     short = _short_list_candidates(postings)
     pairs = materialize(short.unionByName(by_hub).unionByName(by_subset).distinct(), "join-pairs")
-    release(postings, several)
+    release(postings, several, light_sets, hubs)
 
     # One text per node that has a list or subset mate.
     mates = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
@@ -409,7 +429,8 @@ def linked_nodes(documents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
 def jaccard_components(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every document."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    nodes = materialize(rows.mapInArrow(_nodes, "doc_id long, node long, n long"), "join-nodes")
+    sized = rows.mapInArrow(lambda batches: _nodes(batches, small=True), "doc_id long, node long, n long, small array<long>")
+    nodes = materialize(sized, "join-nodes")
     filled = nodes.where("n > 0")
     _, labels = linked_nodes(rows, filled)
     firsts = materialize(filled.groupBy("node").agg(F.min("doc_id").alias("first")), "join-firsts")

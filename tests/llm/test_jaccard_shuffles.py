@@ -45,3 +45,44 @@ def test_lists_are_gathered_after_the_shuffle(spark):
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     widened = re.findall(r"Exchange hashpartitioning\(h#\d+L?, \d+\), ENSURE_REQUIREMENTS", plan)
     assert not widened and "REPARTITION_BY_COL" in plan
+
+
+def test_texts_are_hashed_four_times(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    base = " ".join(WORDS)
+    texts = [base, base, base + " x", "a b c d e f g", "a b c d e f g", "a b c d e f g h", "", None, "one two", "One  two"]
+    rows = list(enumerate(texts, 1)) + [(None, "a b c d e f g")]
+    documents = materialize(spark.createDataFrame(rows, "doc_id long, text string"), "test-docs")
+    out = j.jaccard_components(documents.mapInArrow(count, "doc_id long, text string"))
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()}
+    assert found[1] == (36, 1) and found[3] == (37, 1) and found[5] == (3, 4) and found[10] == (1, 9)
+    assert found[6] == (4, 4) and found[7] == (0, 7) and found[8] == (0, 8)
+    # Sizes, counted shingles, lists, and texts of nodes; light sets come with the sizes.
+    assert read.value <= 4 * len(rows)
+
+
+def test_lists_by_the_global_order():
+    texts = [" ".join(WORDS[:n]) for n in (4, 9, 12, 20, 40)] + [None, "x x x x x x x x x x", " ".join(WORDS[::-1])]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    keys, sets = j.set_keys(batch.column("text"))
+    bits = bytearray(1 << 10)
+    for h in sets[4][::3].tolist():
+        for p in (h % (1 << 13), (h >> 24) % (1 << 13)):
+            bits[p >> 3] |= 1 << (p & 7)
+    filtered = j.np.frombuffer(bytes(bits), j.np.uint8)
+    for light in (0, 7):
+        expected = set()
+        for key, s in zip(keys.tolist(), sets):
+            if len(s) and len(s) >= -(-3 * (light + 1) // 4):
+                often = j.in_filter(filtered, s)
+                ranked = sorted(zip(often.tolist(), s.tolist()))[: j.prefix_length(len(s))]
+                expected |= {(h, key, len(s), k, not o and h < int(j._LIMIT)) for k, (o, h) in enumerate(ranked)}
+        found = [r for b in j._postings(bytes(bits), light)([batch]) for r in b.to_pylist()]
+        assert {(r["h"] % 2**64, r["node"], r["n"], r["place"], r["short"]) for r in found} == expected
+        assert len(found) == len(expected) > 0
