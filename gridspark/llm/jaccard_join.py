@@ -46,6 +46,7 @@ FREQUENT = 16  # documents per shingle above which it counts as frequent
 COUNTED = 0.35  # share of the hash range that is counted
 LARGEST_LIGHT = 12
 BLOCK = 512
+FEW = 16_384  # rows of two numbers that a task may be sent
 SLICE_BYTES = 1 << 21  # of text in one step of a task, or one text
 
 _LIMIT = np.uint64(int(COUNTED * 2**64))
@@ -362,15 +363,31 @@ def _links_in_blocks(rest: DataFrame, texts: DataFrame) -> DataFrame:
     one = rest.select("node", "label").distinct().join(clusters, "node")
     one = materialize(one.join(materialize(sizes, "join-sizes"), "cluster"), "join-blocked")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = one.withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select(
-        "node", "label", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block"
-    )
+    # Texts are joined before sets are repeated: Spark takes the repeated rows for as few as the sets, and would broadcast them.
+    dealt = one.join(texts, "node").withColumn("block", block).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     dealt = dealt.withColumns({"left": F.col("block") == F.col("i"), "right": F.col("block") == F.col("j")})
-    rows = dealt.join(texts, "node").select("cluster", "i", "j", "node", "label", "left", "right", "text")
+    rows = dealt.select("cluster", "i", "j", "node", "label", "left", "right", "text")
     return rows.groupBy("cluster", "i", "j").applyInArrow(_scan_blocks, "a long, b long")
 
 
+def _subset_pairs(light_sets: DataFrame, light: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of light sets that meet under a subset, and the stored subsets' first sets.
+
+    Spark takes the subsets for as few as the sets they come from, so it must not choose to broadcast them.
+    """
+    subsets = light_sets.mapInArrow(_subsets(light), "h long, node long, low boolean")
+    hubs = subsets.groupBy("h").agg(
+        F.min(F.when(F.col("low"), F.col("node"))).alias("hub"), F.min("node").alias("a"), F.max("node").alias("z")
+    )
+    hubs = materialize(hubs.where("hub IS NOT NULL AND a <> z").select("h", "hub"), "join-subset-hubs")
+    side = F.broadcast(hubs) if hubs.count() <= FEW else hubs.hint("merge")
+    pairs = subsets.join(side, "h").where("hub <> node").select(
+        F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")
+    )
+    return pairs, hubs
+
+
 def linked_nodes(documents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between nodes and the component labels, over all documents.
 
@@ -385,14 +402,7 @@ def linked_nodes(documents: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Dat
 
     light_sets = nodes.where(F.col("n").between(1, light)).groupBy("node").agg(F.first("small").alias("small"))
     light_sets = materialize(light_sets, "join-light")  # copies are one set
-    subsets = light_sets.mapInArrow(_subsets(light), "h long, node long, low boolean")
-    hubs = subsets.groupBy("h").agg(
-        F.min(F.when(F.col("low"), F.col("node"))).alias("hub"), F.min("node").alias("a"), F.max("node").alias("z")
-    )
-    hubs = materialize(hubs.where("hub IS NOT NULL AND a <> z").select("h", "hub"), "join-subset-hubs")
-    by_subset = subsets.join(hubs, "h").where("hub <> node").select(
-        F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")
-    )
+    by_subset, hubs = _subset_pairs(light_sets, light)
 
     long_lists = postings.where("NOT short").select("h", "node", "n").distinct()
     several = long_lists.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")

@@ -3,6 +3,7 @@
 import re
 
 import pyarrow as pa
+import pytest
 
 from gridspark.llm import jaccard_join as j
 from gridspark.session import materialize
@@ -86,3 +87,46 @@ def test_lists_by_the_global_order():
         found = [r for b in j._postings(bytes(bits), light)([batch]) for r in b.to_pylist()]
         assert {(r["h"] % 2**64, r["node"], r["n"], r["place"], r["short"]) for r in found} == expected
         assert len(found) == len(expected) > 0
+
+
+def _broadcast_parts(df) -> list[str]:
+    """The part of the plan below every broadcast."""
+    lines, out = df._jdf.queryExecution().executedPlan().toString().splitlines(), []
+    depth = lambda line: len(re.match(r"[\s:+|*()\d-]*", line).group())
+    for at, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = [x for x in lines[at + 1 :]]
+            ends = [k for k, x in enumerate(below) if depth(x) <= depth(line)]
+            out.append("\n".join(below[: ends[0] if ends else None]))
+    return out
+
+
+@pytest.mark.parametrize("limit", ["10m", "-1"])
+def test_sets_are_repeated_after_the_texts_joined(spark, monkeypatch, limit):
+    """A small table of sets that becomes large when it is dealt over pairs of blocks is not sent to the driver."""
+    monkeypatch.setattr(j, "BLOCK", 4)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        texts = [" ".join([*WORDS, f"x{i // 2}", *(["y"] if i % 2 else [])]) for i in range(40)]
+        keys = j.set_keys(pa.array(texts))[0].tolist()
+        stored = materialize(spark.createDataFrame(list(zip(keys, texts)), "node long, text string"), "test-texts")
+        rest = spark.createDataFrame([(h, k, len(t.split()) - 4, k) for h in (1, 2) for k, t in zip(keys, texts)], "h long, node long, n long, label long")
+        links = j._links_in_blocks(materialize(rest, "test-rest"), stored)
+        assert not any("Generate" in part for part in _broadcast_parts(links))
+        found = {r["node"]: r["label"] for r in j.components(links).collect()}
+        assert set(found) == set(keys) and len(set(found.values())) == 1  # all are near copies
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_subsets_are_not_broadcast(spark, monkeypatch, few):
+    monkeypatch.setattr(j, "FEW", few)
+    base = list(range(1, 9))
+    sets = [(100 + i, [x * 7919 for x in base] + [(50 + i) * 104729]) for i in range(30)] + [(1, [3, 5, 8])]
+    light = materialize(spark.createDataFrame(sets, "node long, small array<long>"), "test-light")
+    pairs, _ = j._subset_pairs(light, 12)
+    assert not any("MapInArrow" in part for part in _broadcast_parts(pairs))
+    assert bool(_broadcast_parts(pairs)) == bool(few)
+    assert {(r["a"], r["b"]) for r in pairs.distinct().collect()} == {(100, 100 + i) for i in range(1, 30)}
