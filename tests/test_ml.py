@@ -237,3 +237,75 @@ def test_fits_share_the_cores(samples, monkeypatch):
     past, after = data.where("fold = 1"), data.where("fold = 2")
     model = train_boosted({"x": (past, small[1])})["x"]
     assert rounds[1]["recall_macro"] == pytest.approx(ml.evaluate(ml.predict(model, after)).first()["recall_macro"])
+
+
+def _many(spark, n=600):
+    """Samples with repeated rows and three levels that follow from two features."""
+    rng = random.Random(7)
+    rows = []
+    for _ in range(n):
+        x = [float(rng.randrange(9)) for _ in grid.FEATURES]
+        rows.append((*x, "High" if x[0] > 5 else "Medium" if x[1] > 4 else "Low"))
+    rows += [rows[0]] * 90
+    return spark.createDataFrame(rows, ", ".join(f"{f} double" for f in grid.FEATURES) + ", risk_level string")
+
+
+def test_fits_over_shards_equal_fits_in_one_task(spark, monkeypatch):
+    """Draws of samples and of features, classes with weights and a frame of one class included."""
+    rows = _many(spark)
+    small = replace(ml.BOOSTED, trees=4, depth=4, min_gain=0.05)
+    fits = {"all": (rows, small), "one": (rows.where("risk_level = 'Low'"), replace(small, trees=1, subsample=1.0))}
+    whole = ml.train_boosted(fits)
+    monkeypatch.setattr(boosting, "SHARD_ROWS", 250)
+    monkeypatch.setattr(boosting, "SAVE_ROUNDS", 2)
+    monkeypatch.setattr(boosting, "NODES", 3)
+    dealt = ml.train_boosted({k: (df.repartition(5), config) for k, (df, config) in fits.items()})
+    for name in fits:
+        for part in ("feature", "split", "left", "value", "size", "gain"):
+            assert dealt[name].trees[part].tolist() == whole[name].trees[part].tolist()
+    assert len(whole["all"].trees["value"]) > 50
+
+
+def test_fits_see_all_samples(spark, monkeypatch):
+    """Samples beyond the first 8,000 of a class decide: they alone tell the levels apart."""
+    import numpy as np
+
+    n = 24_000
+    x = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0
+    levels = F.when(x > 0.5, "High").otherwise("Low")
+    rows = spark.range(n).select(*[(x if f == "max_duration" else F.lit(0.0)).alias(f) for f in grid.FEATURES], levels.alias("risk_level"))
+    seen = spark.sparkContext.accumulator(0)
+    fit = boosting.fit
+
+    def counted(x, *rest):
+        seen.add(len(x))
+        return fit(x, *rest)
+
+    monkeypatch.setattr(boosting, "fit", counted)
+    config = replace(ml.BOOSTED, trees=2, depth=2)
+    model = ml.train_boosted({"": (rows, config)})[""]
+    assert seen.value == n and np.isfinite(model.trees["value"]).all()
+
+
+def test_walk_forward_fits_all_of_the_past(spark, samples, monkeypatch):
+    """Neither forests nor boosted fits nor oversampled ones get a bounded part of the past."""
+    given = []
+    train, train_boosted = ml.train, ml.train_boosted
+
+    def forest(rows, config, scale, max_depth, bound=None):
+        given.append((config.name, rows.count(), bound))
+        return train(rows, config, scale, max_depth, bound)
+
+    def boosted(fits, *rest):
+        given.extend((config.name, rows.count(), None) for rows, config in fits.values())
+        return train_boosted(fits, *rest)
+
+    monkeypatch.setattr(training.ml, "train", forest)
+    monkeypatch.setattr(training.ml, "train_boosted", boosted)
+    monkeypatch.setattr(boosting, "bounded", None)
+    small = [replace(c, trees=2, depth=3) for c in (ml.FOREST, ml.BOOSTED, ml.CONFIGS[7])]
+    training.walk_forward(samples, small, folds=2).collect()
+    past = grid.with_folds(samples, 2).where("fold = 1")
+    counts = [r["n"] for r in ml.class_distribution(past).collect()]
+    wanted = {small[0].name: sum(counts), small[1].name: sum(counts), small[2].name: max(counts) * len(counts)}
+    assert {(n, k) for n, k, _ in given} == set(wanted.items()) and not any(bound for *_, bound in given)
